@@ -37,3 +37,65 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(``node``, ``depth``): everything reachable from the seeds along ``src`` -> ``dst``, with the fewest steps.
+
+    One round per step; only the newly reached nodes are joined with the edges, and each round is cut by a
+    checkpoint, so cycles end and lost executors cost one round.
+    """
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    front = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct())
+    seen = front.withColumn("depth", F.lit(0))
+    for depth in range(1, max_rounds + 1):
+        new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = cut(new)
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front.withColumn("depth", F.lit(depth))))
+    raise RuntimeError(f"more than {max_rounds} steps")
+
+
+def unresolved(edges: DataFrame, nodes: DataFrame, node: str = "file") -> DataFrame:
+    """Edges whose target is not a known node."""
+    return edges.join(nodes.select(F.col(node).alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
+
+
+def fixpoint(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
+    """Transitive closure of ``src`` -> ``dst`` by doubling, self-loops removed at the end."""
+    got = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    n = got.count()
+    for _ in range(max_rounds):
+        step = got.select("src", F.col("dst").alias("mid")).join(got.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        got = cut(got.union(step).distinct())
+        more = got.count()
+        if more == n:
+            return got.where("src <> dst")
+        n = more
+    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+
+
+def acyclic_paths(starts: DataFrame, edges: DataFrame, max_nodes: int = 64, max_paths: int = 16) -> DataFrame:
+    """(``start``, ``path``, ``truncated``): paths without repeated nodes from each start to where they cannot go on.
+
+    Paths of one start are kept in the order of their nodes; beyond ``max_paths`` they are left out and the
+    start is marked as truncated, which is the operator's meaning.
+    """
+    edges = edges.select("src", "dst").distinct()
+    live = cut(starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("path", F.array("start")))
+    done = None
+    for _ in range(max_nodes):
+        last = F.element_at("path", -1)
+        grown = live.withColumn("src", last).join(edges, "src", "left")
+        on = grown.where(F.col("dst").isNotNull() & ~F.array_contains("path", F.coalesce("dst", F.element_at("path", -1))))
+        ended = live.join(on.select("start", "path").distinct(), ["start", "path"], "left_anti")
+        done = ended if done is None else done.unionByName(ended)
+        live = cut(on.select("start", F.array_append("path", F.col("dst")).alias("path")))
+        done = cut(done)
+        if live.isEmpty():
+            break
+    else:
+        done = done.unionByName(live)
+    best = done.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+    return best.select("start", F.posexplode(F.slice("paths", 1, max_paths)).alias("k", "path"), (F.col("n") > max_paths).alias("truncated"))
