@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Characters handled at once. Larger texts are handled alone, whole.
 BLOCK_CHARS = 400_000
 
@@ -266,12 +268,9 @@ def found(docs: DataFrame) -> DataFrame:
     text never meet each other and no group is gathered in one place. Null texts and texts without a
     visible character are no cases.
     """
-    keyed = (
-        docs.where(F.col("text").isNotNull())
-        .select("doc_id", F.md5("text").alias("stored"), consistent_form(F.col("text")).alias("form"))
-        .where(F.length("form") > 0)
-        .select("doc_id", "stored", F.md5("form").alias("look"))
-    )
+    form = consistent_form(F.col("text"))
+    look = F.when(F.length(form) > 0, F.md5(form)).alias("look")
+    keyed = cut(docs.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("stored"), look)).where("look is not null")
     texts = keyed.select("look", "stored").distinct()
     several = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
     texts = texts.join(several, "look", "left_semi")
