@@ -151,17 +151,20 @@ def _compose(c: np.ndarray, offsets: np.ndarray, t: Tables) -> tuple[np.ndarray,
     if rank.any():  # runs of marks in canonical order
         order = np.lexsort((at, t.mark[c[at]], head))
         c[at] = c[at[order]]
-    base, joined = at - 1, np.zeros(len(at), bool)
+    base, joined, cls = at - 1, np.zeros(len(at), bool), t.mark[c[at]]
+    held = np.zeros(len(at), np.uint8)  # class of the last mark between a mark and its letter
     for r in range(int(rank.max()) + 1):
         i = k[(rank == r) & ~(first & (rank == 0))]
         if r:
-            base[i] = np.where(joined[i - 1], base[i - 1], at[i - 1])
+            through = joined[i - 1] | (cls[i - 1] > 0) & ~first[i - 1]
+            base[i] = np.where(through, base[i - 1], at[i - 1])
+            held[i] = np.where(joined[i - 1], held[i - 1], np.where(through, cls[i - 1], 0))
         a, b = c[base[i]].astype(np.int64), c[at[i]].astype(np.int64)
         j = np.minimum(np.searchsorted(t.pair_key, a << 21 | b), len(t.pair_key) - 1)
         lv = (a >= 0x1100) & (a <= 0x1112) & (b >= 0x1161) & (b <= 0x1175)
         lvt = (a >= 0xAC00) & (a <= 0xD7A3) & ((a - 0xAC00) % 28 == 0) & (b >= 0x11A8) & (b <= 0x11C2)
         to = np.where(lv, 0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28, np.where(lvt, a + b - 0x11A7, t.pair_to[j]))
-        hit = (t.pair_key[j] == (a << 21 | b)) | lv | lvt
+        hit = ((t.pair_key[j] == (a << 21 | b)) | lv | lvt) & ((held[i] != cls[i]) | (cls[i] == 0))
         joined[i] = hit
         c[base[i[hit]]] = to[hit]
     return _without(c, offsets, at[joined])
