@@ -75,32 +75,30 @@ def band_keys(words: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     return run(words)
 
 
-def unit_sets(units: DataFrame) -> DataFrame:
-    """``pair_id``, ``words`` and ``class`` of each unit with words, once however often it is repeated."""
-    base = units.where("pair_id is not null").select("pair_id", word_set(joined("code", "natspec")).alias("words"))
-    return base.where(F.size("words") > 0).select("pair_id", "words", set_key(F.col("words")).alias("class")).dropDuplicates(["pair_id", "class"])
+def classed(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (``pair_id``, ``class``) and classes (``class``, ``words``) of the units that have words.
+
+    A class is a distinct word set. It is numbered once the table of classes is written, so its number is
+    short and stays; members of repeated units appear once.
+    """
+    base = units.where("pair_id is not null").select("pair_id", word_set(joined("code", "natspec")).alias("words")).where(F.size("words") > 0)
+    base = cut(base.select("pair_id", "words", set_key(F.col("words")).alias("set")))
+    classes = cut(base.groupBy("set").agg(F.first("words").alias("words")).withColumn("class", F.monotonically_increasing_id()))
+    members = base.select("pair_id", "set").distinct().join(classes.select("set", "class"), "set").select("pair_id", "class")
+    return members, classes.select("class", "words")
 
 
-def similar_classes(sets: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes (``a`` < ``b``, ``likeness``) at or above the threshold, and all classes with their words.
+def similar_classes(classes: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Pairs of classes (``a`` < ``b``, ``likeness``) at or above the threshold.
 
-    A band's bucket is joined with itself by its least class first: members of a bucket meet only if they
-    are in it together, and a pair seen in several bands is verified once.
+    Band keys are shuffled once and joined with themselves: classes meet only if they share a bucket, and
+    a pair seen in several bands is verified once.
     """
-    classes = cut(sets.groupBy("class").agg(F.first("words").alias("words")))
     keys = classes.select("class", F.explode(band_keys(F.col("words"))).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    keys = keys.join(shared, "key", "left_semi")
     pairs = keys.select("key", F.col("class").alias("a")).join(keys.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b").distinct()
     sized = with_sets(pairs, classes, "a", "b", "class")
     small, big = F.least(F.size("words_a"), F.size("words_b")), F.greatest(F.size("words_a"), F.size("words_b"))
-    return sized.where(small >= threshold * big).withColumn("likeness", likeness("words_a", "words_b")).where(F.col("likeness") >= threshold).select("a", "b", "likeness"), classes
-
-
-def _classed(units: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    sets = unit_sets(units)
-    pairs, _ = similar_classes(sets, threshold)
-    return sets.select("pair_id", "class"), pairs
+    return sized.where(small >= threshold * big).withColumn("likeness", likeness("words_a", "words_b")).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
 
 
 def found(units: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -110,8 +108,8 @@ def found(units: DataFrame, threshold: float = 0.75) -> DataFrame:
     and null keys are no cases. A unit repeated with another text counts with each. Pairs of classes are
     expanded by membership at the end, copies by the class they share.
     """
-    members, pairs = _classed(units, threshold)
-    pairs = pairs.select("a", "b").union(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b")))
+    members, classes = classed(units)
+    pairs = similar_classes(classes, threshold).select("a", "b").union(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b")))
     left = members.select(F.col("class").alias("a"), F.col("pair_id").alias("x"))
     right = members.select(F.col("class").alias("b"), F.col("pair_id").alias("y"))
     out = pairs.join(left, "a").join(right, "b").where("x <> y and (a <> b or x < y)")
@@ -119,9 +117,9 @@ def found(units: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def groups(units: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """One row per unit: the group it belongs to (named by its least class) and the number of similar classes."""
-    members, pairs = _classed(units, threshold)
-    pairs = cut(pairs.select("a", "b"))
+    """One row per unit: the group it belongs to (named by the least number of its classes) and the number of similar classes."""
+    members, classes = classed(units)
+    pairs = cut(similar_classes(classes, threshold).select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     comp = components(pairs).select(F.col("node").alias("class"), "component")
     return (
