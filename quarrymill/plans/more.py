@@ -61,9 +61,9 @@ def derived_keys(spark, d):
     return p.select("id", F.sha1(F.concat_ws("|", "project", "signature")).alias("group_key"), F.split_part("arity_key", F.lit("/"), F.lit(1)).alias("name"), F.split_part("arity_key", F.lit("/"), F.lit(2)).cast("int").alias("arity"))
 
 
-@query("SELECT CAST(doc_id % 1000 AS INT) AS shard, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+@query("SELECT CAST(doc_id % 1000 AS INT) AS shard, count(*) AS n, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def shards(spark, d):
-    return table(spark, d, "documents").groupBy(F.pmod("doc_id", F.lit(1000)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return table(spark, d, "documents").groupBy(F.pmod("doc_id", F.lit(1000)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
 
 
 @query()
@@ -158,9 +158,9 @@ def best_run(spark, d):
     return r.groupBy("pair_id", "config").agg(F.min(key).alias("b")).select("pair_id", "config", "b.run_id", r6(F.col("b.support_rate"), "support"))
 
 
-@query(f"""SELECT config, day, n, CAST(sum(n) OVER (PARTITION BY config ORDER BY day) AS BIGINT) AS running FROM (SELECT config, CAST(date_trunc('day', finished_at) AS DATE) AS day, count(*) AS n FROM {_RUNS} WHERE finished_at IS NOT NULL GROUP BY ALL)""")
+@query(f"""SELECT config, day, n, CAST(sum(n) OVER (PARTITION BY config ORDER BY day) AS BIGINT) AS running FROM (SELECT config, strftime(finished_at, '%Y-%m-%d') AS day, count(*) AS n FROM {_RUNS} WHERE finished_at IS NOT NULL GROUP BY ALL)""")
 def running_totals(spark, d):
-    g = runs_(spark, d, "config", "finished_at").where("finished_at is not null").groupBy("config", F.to_date("finished_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    g = runs_(spark, d, "config", "finished_at").where("finished_at is not null").groupBy("config", F.date_format("finished_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("running", F.sum("n").over(Window.partitionBy("config").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
