@@ -37,7 +37,7 @@ def wilcoxon(pairs: DataFrame, config: str = "config") -> DataFrame:
     all_ = pairs.select(config).distinct()
     r = all_.join(sign_ranks(pairs, config), config, "left").fillna(0, ["n", "w_plus", "w_minus"])
     mean, sd = F.col("n") * (F.col("n") + 1) / 4, F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24)
-    z = F.greatest(F.abs(F.least("w_plus", "w_minus") - mean) - 0.5, F.lit(0.0))
+    z = F.try_divide(F.greatest(F.abs(F.least("w_plus", "w_minus") - mean) - 0.5, F.lit(0.0)), sd)
     return r.withColumn("p", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), erfc(z))))
 
 
