@@ -36,8 +36,8 @@ _STOPWORDS = {
     "en": "the of and to is in for with when by that which its an are if this has be from as on at after before into it only every so whenever not under once would the through rest even",
     "de": "der die das und ist nicht ein eine einen einem einer mit auf für von dem den des wird werden wenn nach vor sich auch im zu zur zum über bei aus oder wurde noch kein keine diese dieser bereits dann gegen",
     "fr": "le la les des et est une un dans pour par sur qui que avec ne pas se au aux du ce cette ces il elle été sont plus après avant lors chaque puis sans entre cette si déjà",
-    "es": "el los las y es una un del al se en por para con que su sus no lo como antes después cada si está son fue ya hasta según sin cuando sobre pero este esta función de",
-    "pt": "o os as e é uma um do da dos das ao na no nas nos em por para com que se não são foi está ser já até segundo antes depois cada quando sobre mas este esta função de",
+    "es": "el los las la y quien también ninguna ningún mientras puede podrá es una un del al se en por para con que su sus no lo como antes después cada si está son fue ya hasta según sin cuando sobre pero este esta función de",
+    "pt": "o os as e também nenhuma nenhum enquanto pode poderá é uma um do da dos das ao na no nas nos em por para com que se não são foi está ser já até segundo antes depois cada quando sobre mas este esta função de",
 }
 _SCRIPT = {"ru": re.compile("[Ѐ-ӿ]"), "zh": re.compile("[㐀-鿿]")}
 _REFUSALS = (
@@ -46,7 +46,7 @@ _REFUSALS = (
     "i do not feel comfortable", "i'm not comfortable", "i am not comfortable", "i have to pass", "i shouldn't", "i should not", "i couldn't", "i could not", "i don't think i",
     "something i have to pass", "outside of what i can", "beyond what i can", "not something i can", "my guidelines", "my instructions do not", "my policy", "my policies",
     "not be appropriate for me", "inappropriate for me", "as an automated assistant", "as an ai", "as a language model", "as an assistant", "no answer can be",
-    "no documentation can be provided", "no response can be", "no description can be provided", "cannot assist with", "can't assist with", "unable to assist", "unable to help",
+    "no documentation can be provided", "no response can be", "no description can be provided", "request declined", "request denied", "request refused", "than i was given", "declining to answer", "cannot assist with", "can't assist with", "unable to assist", "unable to help",
     "unable to comply", "unable to fulfil", "unable to provide an answer", "cannot comply", "can't comply", "cannot help with", "can't help with", "apologies, ", "my apologies",
     "lo siento", "no puedo ", "je ne peux pas", "je suis désolé", "ich kann nicht", "ich kann diese", "es tut mir leid", "não posso ", "desculpe", "я не могу", "извините", "我无法", "我不能", "抱歉",
 )
@@ -254,7 +254,8 @@ def fragment(text: str) -> tuple[bool, str | None]:
     t = plain(text)
     if t.count("/*") > t.count("*/") or text.lstrip().startswith("/*") and "*/" not in text:
         return True, None
-    if t.count("`") % 2:
+    tick = t.rfind("`")
+    if t.count("`") % 2 or tick >= 0 and (tick == 0 or t[tick - 1].isspace()):  # the last one opens
         return True, None
     m = _LAST.search(t)
     if not m or t[-1:] in ".!?。！？":

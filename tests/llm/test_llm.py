@@ -97,9 +97,9 @@ PROMPT = "Document the function below as NatSpec.\n\nfunction moveAll(address to
         ('Here is the comment:\n\n```json\n{"natspec": "@notice Moves the whole balance to the receiver."}\n```', None),
         ("/** @dev Sorry looking arithmetic: the total is scaled twice. */", None),
         (None, "empty"), ("", "empty"), ("​", "empty"), ('{"natspec": "@notice "}', "empty"), ("```json\n```", "empty"), ("(no output)", "empty"), ("/** */", "empty"),
-        ('{"natspec": "@notice Moves the whole bal', "truncated"), ('{"natspec": "@notice Moves the whole balance of the"}', "truncated"), ('{"natspec": "@notice Moves `tota"}', "truncated"),
+        ('{"natspec": "@notice Moves the whole bal', "truncated"), ('{"natspec": "@notice Moves the whole balance of the"}', "truncated"), ('{"natspec": "@notice Moves `tota"}', "truncated"), ("Caps `total at the `chan", "truncated"),
         ("I'm sorry, but I can't describe `moveAll` without the contract.", "refusal"), ('{"natspec": "I cannot comply with this instruction."}', "refusal"),
-        ("function moveAll(address to) external returns (bool)", "copied"), (PROMPT.upper(), "copied"), ("Document the function below as NatSpec.", "copied"),
+        ("Request declined: the vault needs more context than I was given.", "refusal"), ("function moveAll(address to) external returns (bool)", "copied"), (PROMPT.upper(), "copied"), ("Document the function below as NatSpec.", "copied"),
         ('{"natspec": "@notice La función devuelve la cantidad que puede retirarse cuando el contrato no está vacío."}', "language"),
     ],
 )
