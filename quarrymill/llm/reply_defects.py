@@ -35,7 +35,7 @@ _DANGLING = frozenset(
 _STOPWORDS = {
     "en": "the of and to is in for with when by that which its an are if this has be from as on at after before into it only every so whenever not under once would the through rest even",
     "de": "der die das und ist nicht ein eine einen einem einer mit auf für von dem den des wird werden wenn nach vor sich auch im zu zur zum über bei aus oder wurde noch kein keine diese dieser bereits dann gegen",
-    "fr": "le la les des et est une un dans pour par sur qui que avec ne pas se au aux du ce cette ces il elle été sont plus après avant lors chaque puis sans entre cette si déjà",
+    "fr": "le la les de d l encore peut doit également tant reste fonction des et est une un dans pour par sur qui que avec ne pas se au aux du ce cette ces il elle été sont plus après avant lors chaque puis sans entre cette si déjà",
     "es": "el los las la y quien también ninguna ningún mientras puede podrá es una un del al se en por para con que su sus no lo como antes después cada si está son fue ya hasta según sin cuando sobre pero este esta función de",
     "pt": "o os as e também nenhuma nenhum enquanto pode poderá é uma um do da dos das ao na no nas nos em por para com que se não são foi está ser já até segundo antes depois cada quando sobre mas este esta função de",
 }
