@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics, solidity, text
+from ..functions import comments, metrics, solidity, text
 from ..operators import corpus, dedup, runs, stats
 from ..session import table
 from .catalogue import _CALLS, _OK, _PAIRS, _RUNS, _UNITS, pairs_, query, r6, runs_, units_
@@ -291,3 +291,28 @@ def repeated_files(spark, d):
 def document_census(spark, d):
     x = table(spark, d, "documents")
     return x.groupBy(F.coalesce("lang", F.lit("none")).alias("lang"), "kind").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("texts"), F.count_distinct(F.sha1("text")).alias("distinct_texts"), F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("chars"))
+
+
+# comments as data --------------------------------------------------------------------------------------
+
+
+@query()
+def hypothesis_fields(spark, d):
+    r = runs_(spark, d, "config", "error", "final").where(~runs.failed())
+    f = r.select("config", "run_id", F.explode(comments.fields(F.col("final"))).alias("field", "text"))
+    return f.groupBy("config", F.substring_index("field", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("runs"))
+
+
+@query()
+def json_recovery(spark, d):
+    c = dedup.latest(table(spark, d, "model_calls"), "call_id", "loaded_at", "prompt_id", "raw").withColumn("keys", comments.json_keys(F.col("raw")))
+    need = F.when(F.col("prompt_id") == "L2", F.array(F.lit("verdict"), F.lit("defects"), F.lit("summary"))).when(F.col("prompt_id") == "L1b", F.array(F.lit("purpose"), F.lit("invariants"))).otherwise(F.array(F.lit("natspec"), F.lit("claims")))
+    lacks = F.size(F.array_except(need, F.coalesce("keys", F.array().cast("array<string>"))))
+    return c.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"), F.count("keys").alias("recovered"), F.count_if(F.col("keys").isNotNull() & (lacks > 0)).alias("incomplete"))
+
+
+@query()
+def exposed_completeness(spark, d):
+    members = F.udf(comments.exposed_members, "array<struct<kind:string,name:string,documented:boolean>>")
+    m = table(spark, d, "source_files").dropDuplicates(["file"]).select("file", F.explode(members("src")).alias("m"))
+    return m.groupBy("file").agg(F.count(F.lit(1)).alias("exposed"), F.count_if("m.documented").alias("documented"))

@@ -277,3 +277,16 @@ def test_plans_push_down(spark):
     plan = entry.queries()["pricing_summary"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_comment" not in plan
     assert os.path.exists("/root/testdata/sf0.001") and json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_comments_as_data():
+    from quarrymill.functions import comments
+
+    f = {"notice": "Moves the whole balance to the vault of the owner", "dev": "Careful", "param:to": "the receiver", "return:0": "ok done"}
+    for style in ("block", "lines"):
+        assert comments.comment_fields(comments.render(f, style, "    ", 60)) == f
+    assert comments.comment_fields(None) == {} and comments.comment_fields("plain text") == {"notice": "plain text"}
+    assert comments.recover_json('Sure {not json} here: ```{"a": {"b": 1}}``` bye') == {"a": {"b": 1}}
+    assert comments.recover_json("none") is None and comments.recover_json('{"a": ') is None
+    src = "contract C { /// @notice Doc of f here\n function f() public {} function g() external; function h() internal {} constructor() {} }"
+    assert comments.exposed_members(src) == [("function", "f", True), ("function", "g", False), ("constructor", "constructor", False)]
