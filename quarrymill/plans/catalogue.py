@@ -168,7 +168,10 @@ s AS (SELECT id, CASE WHEN len(a) < 3 THEN (CASE WHEN len(a) > 0 THEN [array_to_
 SELECT id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS score FROM s""")
 def shingle_jaccard(spark, d):
     j = pairs_(spark, d, "code").select("id", F.col("code").alias("a")).join(units_(spark, d, "code").select(F.col("pair_id").alias("id"), F.col("code").alias("b")), "id")
-    return j.select("id", r6(text.jaccard(text.shingles(text.word_tokens(F.col("a"))), text.shingles(text.word_tokens(F.col("b")))), "score"))
+    # one projection per step: an expression inside a lambda would be evaluated again for every element
+    j = j.select("id", text.word_tokens(F.col("a")).alias("a"), text.word_tokens(F.col("b")).alias("b"))
+    j = j.select("id", text.shingles(F.col("a")).alias("a"), text.shingles(F.col("b")).alias("b"))
+    return j.select("id", r6(text.jaccard(F.col("a"), F.col("b")), "score"))
 
 
 @query()
