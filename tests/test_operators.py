@@ -5,6 +5,7 @@ import json
 import math
 import os
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -186,6 +187,41 @@ def test_match(spark):
     assert got == {"q1": ("exact", "t1"), "q2": ("fuzzy", "t1"), "q3": ("none", None), "q4": ("crowded", None), "q5": ("none", None)}
 
 
+def test_match_crowded(spark):
+    rng = random.Random(5)
+    s = "id string, code string"
+    body = lambda ws: "function crowd(uint a) { " + " ".join(f"{w} += a;" for w in ws) + " }"
+    base = [[f"v{rng.randrange(60)}" for _ in range(30)] for _ in range(8)]
+    edit = lambda ws, k: [f"w{rng.randrange(9)}" if i in at else w for at in [rng.sample(range(30), k)] for i, w in enumerate(ws)]
+    index = [(f"t{i:02}", body(edit(base[i % 8], rng.randrange(4)) if i > 8 else base[i % 8])) for i in range(40)]
+    index += [("u1", body(base[7]) + " "), *((f"long{i}", body([f"x{i}"] * 90)) for i in range(9))]
+    q = [(f"q{i}", body(edit(base[i % 8], 1 + i % 3))) for i in range(48)] + [("same1", body(["z", *base[2][1:]])), ("same2", body(["z", *base[2][1:]]))]
+    sets = lambda code: {tuple(w[i : i + 3]) for w in [re.findall(r"\w+|\+=|[^\s\w]", code)] for i in range(len(w) - 2)}
+    want = {}
+    for k, code in q:
+        near = sorted(((len(sets(code) & sets(c)) / len(sets(code) | sets(c)), t) for t, c in index if not t.startswith("long")), reverse=True)
+        ok = near[0][0] >= 0.85 and near[0][0] - near[1][0] >= 0.05
+        want[k] = (near[0][1] if ok else None, 41)
+    exact = {re.sub(r"\s", "", c) for _, c in index}
+    want = {k: want[k] for k, c in q if re.sub(r"\s", "", c) not in exact}
+    assert 5 < sum(t is not None for t, _ in want.values()) < len(want)
+    for crowd in (5, 400):
+        got = [r for r in matching.match(spark.createDataFrame(q, s), spark.createDataFrame(index, s), crowd=crowd).collect() if r["how"] != "exact"]
+        assert {r["query_id"]: (r["target_id"], r["candidates"]) for r in got} == want and len(got) == len(want)
+        assert {r["how"] for r in got} == {"fuzzy", "none" if crowd == 400 else "crowded"}
+
+
+def test_match_counts_within_band(spark):
+    body = "function move(address to, uint v) external { total[to] += v; emit Moved(to, v); count += 1; seen[to] = block.number; sums -= v * 2; last = to; }"
+    index = [("t1", body), *((f"s{i}", f"function move(address to, uint v) {{ x = {i}; }}") for i in range(6))]
+    s = "id string, code string"
+    q = spark.createDataFrame([("q", body.replace("last = to;", "last = to2;"))], s)
+    got = matching.match(q, spark.createDataFrame(index, s), crowd=5).first()
+    assert (got["how"], got["target_id"], got["candidates"]) == ("fuzzy", "t1", 1)
+    twice = spark.createDataFrame([*index, ("t2", body)], s)
+    assert [matching.match(q, twice, crowd=c).first()["target_id"] for c in (0, 5)] == [None, None]
+
+
 def test_top_k_brute(spark, monkeypatch):
     rng = random.Random(2)
     data = [(i, [rng.choice([0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(80)] + [(99, None)]
