@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -76,26 +76,44 @@ def fixpoint(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
-def acyclic_paths(starts: DataFrame, edges: DataFrame, max_nodes: int = 64, max_paths: int = 16) -> DataFrame:
-    """(``start``, ``path``, ``truncated``): paths without repeated nodes from each start to where they cannot go on.
+def _first_paths(starts: DataFrame, sons: DataFrame, max_nodes: int, width: int) -> DataFrame:
+    """(``start``, ``n``, ``more``, ``lost``, ``paths``): the first ``width`` branches of each start, grown to their ends.
 
-    Paths of one start are kept in the order of their nodes; beyond ``max_paths`` they are left out and the
-    start is marked as truncated, which is the operator's meaning.
+    No branch is the beginning of another, so their order stays and what is left out (``more``) comes after
+    all that is kept. ``lost``: a branch went on beyond ``max_nodes`` steps.
     """
-    edges = edges.select("src", "dst").distinct()
-    live = cut(starts.select(F.col(starts.columns[0]).alias("start")).distinct().withColumn("path", F.array("start")))
-    done = None
-    for _ in range(max_nodes):
-        last = F.element_at("path", -1)
-        grown = live.withColumn("src", last).join(edges, "src", "left")
-        on = grown.where(F.col("dst").isNotNull() & ~F.array_contains("path", F.coalesce("dst", F.element_at("path", -1))))
-        ended = live.join(on.select("start", "path").distinct(), ["start", "path"], "left_anti")
-        done = ended if done is None else done.unionByName(ended)
-        live = cut(on.select("start", F.array_append("path", F.col("dst")).alias("path")))
-        done = cut(done)
-        if live.isEmpty():
+    state = starts.select("start", F.array("start").alias("path"), F.lit("open").alias("now"), F.lit(False).alias("more"))
+    w = Window.partitionBy("start")
+    branch = lambda path, now: F.struct(path.alias("path"), F.lit(now).alias("now"))
+    further = F.filter("sons", lambda t: ~F.array_contains("path", t))
+    for step in range(max_nodes + 1):
+        on = F.transform(further, lambda t: branch(F.array_append("path", t), "open")) if step < max_nodes else F.array(branch(F.col("path"), "lost"))
+        grown = F.when(F.col("now") != "open", F.array(F.struct("path", "now"))).when(F.coalesce(F.size(further), F.lit(0)) > 0, on).otherwise(F.array(branch(F.col("path"), "done")))
+        every = state.withColumn("src", F.when(F.col("now") == "open", F.element_at("path", -1))).join(sons, "src", "left").select("start", "more", F.inline(grown))
+        every = every.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("rn", F.row_number().over(w.orderBy("path")))
+        state = cut(every.where(F.col("rn") <= width).select("start", "path", "now", (F.col("more") | (F.col("n") > width)).alias("more")))
+        if state.where("now = 'open'").isEmpty():
             break
-    else:
-        done = done.unionByName(live)
-    best = done.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
-    return best.select("start", F.posexplode(F.slice("paths", 1, max_paths)).alias("k", "path"), (F.col("n") > max_paths).alias("truncated"))
+    done = F.col("now") == "done"
+    return state.groupBy("start").agg(F.count_if(done).alias("n"), F.bool_or("more").alias("more"), F.bool_or(F.col("now") == "lost").alias("lost"), F.array_sort(F.collect_list(F.when(done, F.col("path")))).alias("paths"))
+
+
+def acyclic_paths(starts: DataFrame, edges: DataFrame, max_nodes: int = 64, max_paths: int = 16) -> DataFrame:
+    """(``start``, ``k``, ``path``, ``truncated``): paths without repeated nodes from each start to where they cannot go on.
+
+    Paths of one start are kept in the order of their nodes. The start is marked as truncated if it has more
+    than ``max_paths``, or one that goes on after ``max_nodes`` steps, which is left out: the operator's
+    meaning. Only branches that can be among the first are grown; starts whose first branches all went on
+    too long are grown again with more of them.
+    """
+    sons = cut(edges.where("dst is not null").groupBy("src").agg(F.collect_set("dst").alias("sons")))
+    left = cut(starts.select(F.col(starts.columns[0]).alias("start")).distinct())
+    out, width = None, max_paths + 1
+    while True:
+        got = cut(_first_paths(left, sons, max_nodes, width))
+        short = (F.col("n") < max_paths) & F.col("more")
+        part = got.where(~short).select("start", F.posexplode(F.slice("paths", 1, max_paths)).alias("k", "path"), ((F.col("n") > max_paths) | F.col("more") | F.col("lost")).alias("truncated"))
+        out = part if out is None else out.unionByName(part)
+        left, width = got.where(short).select("start"), width * 4
+        if left.isEmpty():
+            return out

@@ -534,8 +534,8 @@ def exemplar_closure(spark, d):
 @query()
 def acyclic_paths(spark, d):
     n = table(spark, d, "nation").select("n_nationkey")
-    e = n.select(F.col("n_nationkey").alias("src"), F.explode(F.array(F.col("n_nationkey") + 1, F.col("n_nationkey") + 5, F.col("n_nationkey") - 5)).alias("dst")).where("dst between 0 and 9 and src between 0 and 9")
-    return graph.acyclic_paths(n.where("n_nationkey = 0"), e)
+    e = n.select(F.col("n_nationkey").alias("src"), F.explode(F.array(F.col("n_nationkey") + 1, F.col("n_nationkey") + 5, F.col("n_nationkey") - 5)).alias("dst"))
+    return graph.acyclic_paths(n, e.join(n.select(F.col("n_nationkey").alias("dst")), "dst", "left_semi"))
 
 
 # tables beside the corpus ------------------------------------------------------------------------------

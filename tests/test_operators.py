@@ -174,6 +174,36 @@ def test_reach_fixpoint_paths(spark):
     assert len(p) == 16 and all(r["truncated"] for r in p)
 
 
+def test_acyclic_paths_brute(spark):
+    import __spark_entry__ as entry
+
+    def walk(edges, start, max_nodes, max_paths):
+        out, cut = [], []
+
+        def go(path):
+            if len(out) >= max_paths or len(path) > max_nodes + 1:
+                cut.append(path)
+                return
+            sons = sorted({t for s, t in edges if s == path[-1]} - set(path))
+            for t in sons:
+                go([*path, t])
+            if not sons:
+                out.append(path)
+
+        go([start])
+        return [(start, k, p, bool(cut)) for k, p in enumerate(out)]
+
+    keys = range(25)
+    edges = [(k, t) for k in keys for t in (k + 1, k + 5, k - 5) if t in keys]
+    got = entry.queries()["acyclic_paths"](spark, "/root/testdata/sf0.001").select("start", "k", "path", "truncated").collect()
+    assert sorted(map(tuple, got)) == [r for k in keys for r in walk(edges, k, 64, 16)]
+    # the first branches of 0 all go on too long, its later ones end
+    deep = [(0, 1), (0, 2), (1, 3), (1, 4), (1, 5), (1, 6), *((k, 7) for k in (3, 4, 5, 6)), (7, 8), (2, 9), (2, 10), (20, 21), (30, 31), (31, 32), (32, 33), (33, 34)]
+    e = spark.createDataFrame(deep, "src int, dst int")
+    got = graph.acyclic_paths(spark.createDataFrame([(0,), (20,), (30,)], "s int"), e, max_nodes=2, max_paths=2).select("start", "k", "path", "truncated").collect()
+    assert sorted(map(tuple, got)) == [r for k in (0, 20, 30) for r in walk(deep, k, 2, 2)]
+
+
 # matching and retrieval --------------------------------------------------------------------------------
 
 
