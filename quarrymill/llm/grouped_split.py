@@ -83,13 +83,18 @@ def _greedy(heavy: list, labels: list[str], need: dict, size_need: dict) -> dict
 def assign(units: DataFrame, proportions: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
     """``pair_id``, ``project``, ``component`` and ``split`` of every unit, once; tied units share the split.
 
-    The latest row of a repeated unit counts. An empty table gives an empty result. At most ``MAX_LABELS``
+    The latest row of a repeated unit counts. A unit without a project belongs to the component of its group,
+    or to one of its own if it has no group either. An empty table gives an empty result. At most ``MAX_LABELS``
     labels are balanced; more are an error, not dropped.
     """
     spark = units.sparkSession
     one = cut(unit_labels(units))
     ties = cut(tied_projects(one))
-    one = one.join(ties, "project")
+    named = one.where("project is not null").join(ties, "project")
+    of_group = named.where("group_id is not null").groupBy("group_id").agg(F.min("component").alias("tied"))
+    alone = one.where("project is null").join(of_group, "group_id", "left")
+    own = F.coalesce("tied", F.concat(F.lit("group:"), "group_id"), F.concat(F.lit("pair:"), F.col("pair_id").cast("string")))
+    one = named.unionByName(alone.withColumn("component", own).drop("tied"))
     counts = one.select("component", F.explode("labels").alias("label")).groupBy("component", "label").agg(F.count(F.lit(1)).alias("k"))
     vector = counts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("label", "k"))).alias("v"))
     comps = cut(one.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(vector, "component", "left"))

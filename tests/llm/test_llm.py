@@ -182,6 +182,17 @@ def test_assign_small_components(spark, monkeypatch):
     assert abs(share["train"] - 2400) < 120 and abs(share["val"] - 300) < 90 and abs(share["test"] - 300) < 90
 
 
+def test_assign_without_project(spark):
+    at = datetime(2031, 1, 1)
+    data = [("a", "p", "g"), ("b", None, "g"), ("c", None, "h"), ("d", None, "h"), ("e", None, None), ("f", "q", None)]
+    units = spark.createDataFrame([(*r, "x", "t", None, at) for r in data], "pair_id string, project string, group_id string, code string, natspec string, views map<string,string>, indexed_at timestamp")
+    got = {r["pair_id"]: r for r in grouped_split.assign(units).collect()}
+    assert got.keys() == set("abcdef") and got["b"]["project"] is None
+    comp = {k: r["component"] for k, r in got.items()}
+    assert comp["a"] == comp["b"] and comp["c"] == comp["d"] and len(set(comp.values())) == 4
+    assert all(r["split"] in ("train", "val", "test") for r in got.values()) and got["a"]["split"] == got["b"]["split"] and got["c"]["split"] == got["d"]["split"]
+
+
 def test_mixed_projects(spark):
     units = _units(spark, 300, 5)
     rng = random.Random(2)
