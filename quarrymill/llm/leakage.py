@@ -1,7 +1,8 @@
 """Held-out passages inside a corpus.
 
 Every window of as many words as a leak must have, in the items and in the documents, gets a 64-bit
-SimHash. Item fingerprints are indexed by ``radius + 1`` blocks of bits: two fingerprints within the radius
+SimHash for equal windows; windows that are only nearly equal are found by the shingles they share (see
+``ItemIndex.sharing``). Item fingerprints are indexed by ``radius + 1`` blocks of bits: two fingerprints within the radius
 agree in at least one block, so looking up the blocks of a document's window misses no item window within
 it. Candidates are verified exactly, by the weighted share of word shingles in common. All of it runs on
 numpy arrays of words, in one pass over the documents and without any shuffle of text.
@@ -21,9 +22,9 @@ from .lookalike import blocks, fold
 
 #: Words of the shortest leak, words of a shingle.
 WINDOW, SHINGLE = 14, 5
-#: Fingerprints this many bits apart are candidates.
+#: Fingerprints this many bits apart are candidates where only equal windows are wanted.
 RADIUS = 2
-#: Item windows held by a task at once (48 bytes each). Larger sets of items go through in such blocks.
+#: Item windows held by a task at once (48 bytes each, 64 below a floor of 1). Larger sets of items go through in such blocks.
 ITEM_BLOCK = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -125,6 +126,7 @@ class ItemIndex:
         self.item = np.asarray(ids)[np.searchsorted(at, starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
         self.print = simhash(hashes, window)[starts] if len(starts) else np.zeros(0, np.uint64)
         edges = np.linspace(0, 64, radius + 2).astype(int)
+        self.grams: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         self.blocks = []
         for lo, hi in zip(edges, edges[1:]):
             key = self._key(self.print, lo, hi)
@@ -155,6 +157,50 @@ class ItemIndex:
             out_b.append(b[ok])
         return np.concatenate(out_a), np.concatenate(out_b)
 
+    def sharing(self, w: np.ndarray, sizes: np.ndarray, at: np.ndarray, floor: float, lookups: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(position, item window) once each, all of likeness ``floor`` or more among them; windows cross no offset in ``at``.
+
+        Shingles of a document window that the item window lacks weigh at most ``1 - floor`` of it. So at least
+        ``floor`` of its weight occurs somewhere in the items, and of any shingles that weigh more than the
+        rest together one is in the item window: the rarest such are looked up.
+        """
+        k = min(SHINGLE, self.window)
+        m = self.window - k + 1
+        if len(w) < self.window or not len(self.start):
+            return
+        if self.grams is None:
+            g = _ngram(self.words, k)
+            order = np.argsort(g, kind="stable")
+            there = np.zeros(1 << 22, bool)
+            there[g & np.uint64(len(there) - 1)] = True
+            self.grams = g[order], order, there
+        keys, order, there = self.grams
+        g, weight = _ngram(w, k), np.convolve(sizes, np.ones(k, np.int64), "valid")
+        maybe = np.flatnonzero(there[g & np.uint64(len(there) - 1)])
+        first, many = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+        first[maybe] = np.searchsorted(keys, g[maybe], "left")
+        many[maybe] = np.searchsorted(keys, g[maybe], "right") - first[maybe]
+        held, full = (np.convolve(x, np.ones(m, np.int64), "valid") for x in (np.where(many > 0, weight, 0), weight))
+        a = np.flatnonzero((held > 0) & (held >= (floor - 1e-9) * full))
+        a = a[a + self.window <= at[np.searchsorted(at, a, "right")]]
+        span = np.arange(m)
+        for i in range(0, len(a), 20_000):
+            part = a[i : i + 20_000]
+            x = part[:, None] + span
+            x = np.take_along_axis(x, np.argsort(many[x], axis=1, kind="stable"), 1)
+            before = np.cumsum(weight[x], 1) - weight[x]
+            use = (before <= (1 - floor + 1e-9) * full[part][:, None]) & (many[x] > 0)
+            turn = np.cumsum((many[x] * use).sum(1)) // lookups
+            for lo, hi in zip(*(np.searchsorted(turn, np.unique(turn), side) for side in ("left", "right"))):
+                r, c = np.nonzero(use[lo:hi])
+                at_word = x[lo:hi][r, c]
+                n = many[at_word]
+                y = order[np.repeat(first[at_word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                s = (y[:, None] - span).ravel()
+                b = np.minimum(np.searchsorted(self.start, s), len(self.start) - 1)
+                pair = np.unique((np.repeat(np.repeat(r, n), m) * len(self.start) + b)[self.start[b] == s])
+                yield part[lo + pair // len(self.start)], pair % len(self.start)
+
     def likeness(self, w: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, chunk: int = 20_000) -> np.ndarray:
         """Weighted Jaccard of the shingles of document windows at ``a`` and item windows ``b``; a shingle weighs its letters."""
         k = min(SHINGLE, self.window)
@@ -185,19 +231,22 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("likeness",
 def _scan(index: ItemIndex, floor: float, doc_ids: np.ndarray, col: pa.Array) -> Iterator[pa.RecordBatch]:
     for lo, hi, c, offsets in blocks(col, 250_000):
         w, sizes, at = words(c, offsets)
-        prints = simhash(w, index.window)
-        if not len(prints):
+        if len(w) < index.window:
             continue
-        a, b = index.near(prints)
-        row = np.searchsorted(at, a, "right") - 1
-        inside = a + index.window <= at[row + 1]
-        a, b, row = a[inside], b[inside], row[inside]
-        like = index.likeness(w, sizes, a, b)
-        exact = np.zeros(len(a), bool)
-        exact[like == 1] = index.same(w, a[like == 1], b[like == 1])
-        ok = like >= floor
-        if not ok.any():
+        parts = []
+        for a, b in index.sharing(w, sizes, at, floor) if floor < 1 else [index.near(simhash(w, index.window))]:
+            row = np.searchsorted(at, a, "right") - 1
+            inside = a + index.window <= at[row + 1]
+            a, b, row = a[inside], b[inside], row[inside]
+            like = index.likeness(w, sizes, a, b)
+            exact = np.zeros(len(a), bool)
+            exact[like == 1] = index.same(w, a[like == 1], b[like == 1])
+            ok = like >= floor
+            parts.append((row[ok], b[ok], like[ok], exact[ok]))
+        if not sum(len(p[0]) for p in parts):
             continue
+        row, b, like, exact = (np.concatenate(x) for x in zip(*parts))
+        ok = slice(None)
         doc, item, like, exact = doc_ids[lo + row[ok]], index.item[b[ok]], like[ok], exact[ok]
         order = np.lexsort((item, doc))
         doc, item, like, exact = doc[order], item[order], like[order], exact[order]
@@ -230,7 +279,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, radius: int =
     A row per document and item with ``likeness`` (the best of its windows), ``windows`` (how many pairs of
     windows reach ``floor``) and ``exact`` (whether one holds the item's words, all in order). Words are
     runs of letters and digits in the consistent form, in lower case. Null, empty and shorter texts have no
-    window. Items with equal text each count, and so do documents. The items are a stated query set: they
+    window. No pair of windows that reaches ``floor`` is missed; ``radius`` only serves a floor of 1. Items with equal text each count, and so do documents. The items are a stated query set: they
     meet all documents in blocks of ``item_block`` words at most, one block in a task's memory at a time.
     """
     out = None

@@ -341,6 +341,36 @@ def test_all_within_radius_found():
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
 
 
+def test_near_leaks_brute(spark):
+    rng = random.Random(8)
+    vocab = ["ab", "token", "balance", "owner", "a", "transferred", "the", "of"]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, text(30)) for i in range(6)] + [(6, ["a"] * 20), (7, text(10))]
+    docs = []
+    for d in range(40):
+        t = list(items[d % 6][1][:20])
+        for k in rng.sample(range(20), d % 3):
+            t[k] = "edited"
+        docs.append((d, text(5) + t + text(5)))
+    docs += [(91, ["a"] * 15)]
+    docs += [(100 + 2 * k + e, (["x"] if e else []) + items[k % 6][1][k // 6 : k // 6 + 13] + ([] if e else ["x"])) for k in range(60) for e in (0, 1)]
+
+    def like(x, y):
+        gx, gy = ([tuple(v[i : i + 5]) for i in range(10)] for v in (x, y))
+        size = lambda g: sum(map(len, g))
+        return sum(size(g) for g in gx if g in gy) / (sum(map(size, gx)) + sum(size(g) for g in gy if g not in gx))
+
+    want = {}
+    for d, x in docs:
+        for i, y in items:
+            got = [v for p in range(len(x) - 13) for q in range(len(y) - 13) if (v := like(x[p : p + 14], y[q : q + 14])) >= 0.8]
+            if got:
+                want[d, i] = (round(max(got), 6), len(got))
+    df = lambda data, name: spark.createDataFrame([(k, " ".join(t)) for k, t in data], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["likeness"], 6), r["windows"]) for r in leakage.leaks(df(docs, "doc_id"), df(items, "item_id")).collect()}
+    assert got == want and sum(v < 1 for v, _ in want.values()) > 3
+
+
 # 8 -----------------------------------------------------------------------------------------------------
 
 
