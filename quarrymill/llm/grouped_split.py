@@ -1,16 +1,17 @@
 """Splits that keep related records together, by grouped iterative stratification.
 
 Records tied by a shared project or group, also through others, form a component; its label vector says
-how many records of each label it has. Label by label, the rarest outstanding first, components with that
-label go to the split that still needs it most. Components that hold a thousandth of all records or more
-(a thousand at most, so their vectors may reach the driver) are placed one by one. The others are too
-many and too small to place singly: for each label they are spread over the splits in the shares still
-needed, by hash buckets whose bounds come from a histogram of fixed size.
+how many records of each label it has. The label that is rarest among the records not yet placed comes
+first: its components, those with most of it before the others, go into the split that needs it most and
+has room for them; then the totals are updated and the next label follows. Components of about the same
+size and count of the label are alike to that rule, so the driver decides by cells of a grid of fixed
+size how many of each cell go where, and the components are told apart in place: one and a billion
+components are placed by the same steps, and none of them is sent to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -18,10 +19,13 @@ from ..session import cut
 from .split_overlap import clean_split, latest
 
 SPLITS = ("train", "val", "test")
-#: Components of this share of the records or more are placed one by one.
-HEAVY = 1e-3
-#: Histogram cells of the small components; labels at most.
-CELLS, MAX_LABELS = 1 << 14, 64
+#: Labels at most. All records together count as one more label, the last to be placed.
+MAX_LABELS = 64
+#: Steps of the grid from one power of two to the next; smaller numbers are exact.
+STEPS = 32
+#: Components of a cell that are ranked by one task; larger cells are split.
+CELL_ROWS = 50_000
+_ALL = ""
 
 
 def tied_projects(units: DataFrame) -> DataFrame:
@@ -45,97 +49,118 @@ def found(units: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     ties = cut(tied_projects(units))
     split = latest(pairs, "split").select(F.col("id").alias("pair_id"), clean_split(F.col("split")).alias("split")).where(F.col("split").isin(*SPLITS))
-    of_project = units.select("pair_id", "project").distinct().join(split, "pair_id").select("project", "split").distinct()
-    mixed = of_project.join(ties, "project").groupBy("component").agg(F.count_distinct("split").alias("n")).where("n > 1").select("component")
+    one = units.select("pair_id", "project").distinct().join(split, "pair_id").join(ties, "project").select("component", F.array("split").alias("labels"))
+    mixed = label_vectors(one).where(F.size("v") > 2).select("component")  # two splits or more beside all records
     return ties.join(mixed, "component", "left_semi").select("project")
 
 
-def unit_labels(units: DataFrame) -> DataFrame:
-    """``pair_id``, ``project`` and the ``labels`` to balance: size of the code, whether it has a comment, number of views."""
+def label_vectors(one: DataFrame) -> DataFrame:
+    """``component``, its label vector ``v`` (label -> records; ``_ALL`` counts them all) and ``n``, of rows with ``component`` and ``labels``."""
+    counts = one.select("component", F.explode(F.concat("labels", F.array(F.lit(_ALL)))).alias("label")).groupBy("component", "label").agg(F.count(F.lit(1)).alias("k"))
+    vectors = counts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("label", "k"))).alias("v"))  # at most MAX_LABELS + 1 entries
+    return vectors.withColumn("n", F.element_at("v", F.lit(_ALL)))
+
+
+def default_labels() -> Column:
+    """Labels of a unit: size of its code, whether it has a comment, number of views."""
     size = F.least(F.lit(14), F.floor(F.log2(F.length(F.coalesce("code", F.lit(""))) + 1)))
-    labels = F.array(
+    return F.array(
         F.concat(F.lit("size:"), size.cast("string")),
         F.when(F.length(F.trim(F.coalesce("natspec", F.lit("")))) > 0, "comment:yes").otherwise("comment:no"),
         F.concat(F.lit("views:"), F.coalesce(F.least(F.lit(8), F.size("views")), F.lit(-1)).cast("string")),
     )
-    newest = F.max(F.struct("indexed_at", "project", "group_id", labels.alias("labels"))).alias("r")
-    return units.where("pair_id is not null").groupBy("pair_id").agg(newest).select("pair_id", "r.project", "r.group_id", "r.labels")
-
-
-def _greedy(heavy: list, labels: list[str], need: dict, size_need: dict) -> dict:
-    """Places heavy components: rarest outstanding label first, the component with most of it first, into the split needing it most."""
-    placed: dict = {}
-    left = {r["component"]: r for r in heavy}
-    while left:
-        totals = {x: sum(r["v"].get(x, 0) for r in left.values()) for x in labels}
-        open_ = [x for x in labels if totals[x]]
-        rare = min(open_, key=lambda x: (totals[x], x)) if open_ else None
-        r = max(left.values(), key=lambda r: (r["v"].get(rare, 0), r["n"], str(r["component"])))
-        s = max(SPLITS, key=lambda s: (need[s].get(rare, 0.0) if rare else 0.0, size_need[s], -SPLITS.index(s)))
-        placed[r["component"]] = s
-        size_need[s] -= r["n"]
-        for x, k in r["v"].items():
-            need[s][x] = need[s].get(x, 0.0) - k
-        del left[r["component"]]
-    return placed
-
-
-def assign(units: DataFrame, proportions: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
-    """``pair_id``, ``project``, ``component`` and ``split`` of every unit, once; tied units share the split.
-
-    The latest row of a repeated unit counts. A unit without a project belongs to the component of its group,
-    or to one of its own if it has no group either. An empty table gives an empty result. At most ``MAX_LABELS``
-    labels are balanced; more are an error, not dropped.
+
+
+def labelled(units: DataFrame, labels: Column | None = None) -> DataFrame:
+    """``pair_id``, ``project``, ``component`` and ``labels`` (without nulls and repeats) of every unit, once.
+
+    The latest row of a repeated unit counts; all its rows tie. A unit without a project belongs to the
+    component of its group, or to one of its own if it has no group either.
     """
-    spark = units.sparkSession
-    one = cut(unit_labels(units))
-    ties = cut(tied_projects(one))
+    labels = F.array_compact(F.array_distinct(default_labels() if labels is None else labels))
+    newest = F.max(F.struct("indexed_at", "project", "group_id", labels.alias("labels"))).alias("r")
+    one = units.where("pair_id is not null").groupBy("pair_id").agg(newest).select("pair_id", "r.project", "r.group_id", "r.labels")
+    ties = cut(tied_projects(units))
     named = one.where("project is not null").join(ties, "project")
-    of_group = named.where("group_id is not null").groupBy("group_id").agg(F.min("component").alias("tied"))
+    of_group = units.where("project is not null and group_id is not null").select("project", "group_id").distinct().join(ties, "project").groupBy("group_id").agg(F.min("component").alias("tied"))
     alone = one.where("project is null").join(of_group, "group_id", "left")
     own = F.coalesce("tied", F.concat(F.lit("group:"), "group_id"), F.concat(F.lit("pair:"), F.col("pair_id").cast("string")))
-    one = named.unionByName(alone.withColumn("component", own).drop("tied"))
-    counts = one.select("component", F.explode("labels").alias("label")).groupBy("component", "label").agg(F.count(F.lit(1)).alias("k"))
-    vector = counts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("label", "k"))).alias("v"))
-    comps = cut(one.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(vector, "component", "left"))
-    totals = {r["label"]: r["k"] for r in counts.groupBy("label").agg(F.sum("k").alias("k")).limit(MAX_LABELS + 1).collect()}
-    if len(totals) > MAX_LABELS:
+    return named.unionByName(alone.withColumn("component", own).drop("tied")).select("pair_id", "project", "component", "labels")
+
+
+def _grid(x: Column) -> Column:
+    """``x`` rounded down to ``STEPS`` steps between powers of two."""
+    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(x)) - (STEPS.bit_length() - 1)))
+    return (F.floor(x / step) * step).cast("long")
+
+
+def _allot(cells: list, need: dict, room: dict, label: str) -> list[tuple]:
+    """(cell, how many of it go to each split): cells with most of the label first, each time the split that needs it most and has room."""
+    need = {s: need[s].get(label, 0.0) for s in SPLITS}
+    room = dict(room)
+    out = []
+    for c in sorted(cells, key=lambda c: (-c["k"], -c["size"], c["part"])):
+        got, left = dict.fromkeys(SPLITS, 0), c["m"]
+        k, n = c["sum_k"] / c["m"], c["sum_n"] / c["m"]
+        while left:
+            some = max(1, left // 128)
+            fits = [s for s in SPLITS if room[s] >= n] or [max(SPLITS, key=lambda s: room[s])]
+            s = max(fits, key=lambda s: (need[s], room[s]))
+            got[s] += some
+            need[s] -= some * k
+            room[s] -= some * n
+            left -= some
+        out.append((c["k"], c["size"], c["part"], got[SPLITS[0]], got[SPLITS[0]] + got[SPLITS[1]]))
+    return out
+
+
+def _place(mine: DataFrame, need: dict, room: dict, label: str) -> DataFrame:
+    """The components ``mine``, all with the label, and their ``split``."""
+    spark = mine.sparkSession
+    mine = mine.withColumn("w", F.element_at("v", F.lit(label))).withColumns({"k": _grid(F.col("w")), "size": _grid(F.col("n")), "part": F.lit(0)})
+    per = (F.count(F.lit(1)).alias("m"), F.sum("w").alias("sum_k"), F.sum("n").alias("sum_n"))
+    cells = mine.groupBy("k", "size", "part").agg(*per).collect()  # no more than the grid has
+    large = [(c["k"], c["size"], -(-c["m"] // CELL_ROWS)) for c in cells if c["m"] > CELL_ROWS]
+    if large:
+        parts = F.broadcast(spark.createDataFrame(large, "k long, size long, parts int"))  # one row for CELL_ROWS components at most
+        mine = mine.join(parts, ["k", "size"], "left").withColumn("part", F.pmod(F.xxhash64("component", F.lit("part")), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        split = {(k, n) for k, n, _ in large}
+        again = mine.join(parts, ["k", "size"], "left_semi").groupBy("k", "size", "part").agg(*per).collect()
+        cells = [c for c in cells if (c["k"], c["size"]) not in split] + again
+    rules = spark.createDataFrame(_allot(cells, need, room, label), "k long, size long, part int, first long, second long")
+    rank = F.row_number().over(Window.partitionBy("k", "size", "part").orderBy(F.xxhash64("component"), "component"))
+    pick = F.when(F.col("rank") <= F.col("first"), SPLITS[0]).when(F.col("rank") <= F.col("second"), SPLITS[1]).otherwise(SPLITS[2])
+    return mine.withColumn("rank", rank).join(rules, ["k", "size", "part"]).select("component", "n", "v", pick.alias("split"))
+
+
+def assign(units: DataFrame, proportions: tuple[float, float, float] = (0.8, 0.1, 0.1), labels: Column | None = None) -> DataFrame:
+    """``pair_id``, ``project``, ``component``, ``labels`` and ``split`` of every unit, once; tied units share the split.
+
+    ``labels`` is a column of an array of strings; null and repeated labels do not count, and a unit may have
+    none. At most ``MAX_LABELS`` labels are balanced; more are an error, not dropped. An empty table gives an
+    empty result. See ``labelled`` for repeated units and nulls.
+    """
+    one = cut(labelled(units, labels))
+    comps = cut(label_vectors(one))
+    totals = {r["label"]: r["k"] for r in comps.select(F.explode("v").alias("label", "k")).groupBy("label").agg(F.sum("k").alias("k")).limit(MAX_LABELS + 2).collect()}
+    if len(totals) > MAX_LABELS + 1:
         raise ValueError(f"more than {MAX_LABELS} labels")
-    labels = sorted(totals)
-    n = comps.agg(F.sum("n").alias("n")).first()["n"] or 0
-    need = {s: {x: p * totals[x] for x in labels} for s, p in zip(SPLITS, proportions)}
-    size_need = {s: p * n for s, p in zip(SPLITS, proportions)}
-    heavy = comps.where(F.col("n") >= max(1.0, HEAVY * n)).collect()  # at most 1 / HEAVY rows
-    placed = _greedy(heavy, labels, need, size_need)
-    heavy_df = spark.createDataFrame([(k, v) for k, v in placed.items()] or [("", "")], "component string, split string")
-    small = comps.where(F.col("n") < max(1.0, HEAVY * n))
-    cell = F.pmod(F.xxhash64("component"), F.lit(CELLS)).cast("int")
-    # for each label in turn: the small components that have it and none of the labels before
-    rules, before = None, F.lit(False)
-    outstanding = {x: sum(max(0.0, need[s][x]) for s in SPLITS) for x in labels}
-    for x in sorted(labels, key=lambda x: (outstanding[x], x)):
-        here = F.coalesce(F.element_at("v", F.lit(x)), F.lit(0)) > 0
-        hist = small.where(here & ~before).groupBy(cell.alias("cell")).agg(F.sum(F.element_at("v", F.lit(x))).alias("k")).collect()  # at most CELLS rows
-        if hist:
-            want = [max(0.0, need[s][x]) for s in SPLITS]
-            total = sum(r["k"] for r in hist)
-            scale = total / sum(want) if sum(want) else 0
-            if not scale:
-                want, scale = list(proportions), total / sum(proportions)
-            run, bounds, edge = 0, [], want[0] * scale
-            for r in sorted(hist, key=lambda r: r["cell"]):
-                while len(bounds) < 2 and run + r["k"] / 2 > edge:
-                    bounds.append(r["cell"])
-                    edge += want[len(bounds)] * scale
-                run += r["k"]
-            bounds += [CELLS] * (2 - len(bounds))
-            pick = F.when(cell < bounds[0], SPLITS[0]).when(cell < bounds[1], SPLITS[1]).otherwise(SPLITS[2])
-            mine = small.where(here & ~before)
-            for r in mine.select(pick.alias("s"), F.explode("v").alias("label", "k")).groupBy("s", "label").agg(F.sum("k").alias("k")).collect():
-                need[r["s"]][r["label"]] -= r["k"]
-            rules = F.when(here, pick) if rules is None else rules.when(here, pick)
-        before = before | here
-    chosen = comps.join(heavy_df, "component", "left")
-    rest = rules.otherwise(SPLITS[0]) if rules is not None else F.lit(SPLITS[0])
-    chosen = chosen.select("component", F.coalesce("split", rest).alias("split"))
-    return one.join(chosen, "component").select("pair_id", "project", "component", "split")
+    need = {s: {x: p * k for x, k in totals.items()} for s, p in zip(SPLITS, proportions)}
+    outstanding, rest, chosen = dict(totals), comps, None
+    while open_ := [x for x in outstanding if outstanding[x] > 0]:
+        label = min(open_, key=lambda x: (outstanding[x], x == _ALL, x))
+        has = F.coalesce(F.element_at("v", F.lit(label)), F.lit(0)) > 0
+        placed = cut(_place(rest.where(has), need, {s: need[s][_ALL] for s in SPLITS}, label))
+        for r in placed.select("split", F.explode("v").alias("label", "k")).groupBy("split", "label").agg(F.sum("k").alias("k")).collect():
+            need[r["split"]][r["label"]] -= r["k"]
+            outstanding[r["label"]] -= r["k"]
+        rest = rest.where(~has)
+        chosen = placed if chosen is None else chosen.unionByName(placed)
+    chosen = one.select("component", F.lit(SPLITS[0]).alias("split")).limit(0) if chosen is None else chosen.select("component", "split")
+    return one.join(chosen, "component").select("pair_id", "project", "component", "labels", "split")
+
+
+def balance(assigned: DataFrame) -> DataFrame:
+    """Per split and label (``all``: every unit): ``units``, and their ``share`` of the label's units."""
+    per = assigned.select("split", F.explode(F.concat(F.array(F.lit("all")), "labels")).alias("label")).groupBy("split", "label").agg(F.count(F.lit(1)).alias("units"))
+    return per.withColumn("share", F.round(F.col("units") / F.sum("units").over(Window.partitionBy("label")), 6))  # at most MAX_LABELS + 1 labels

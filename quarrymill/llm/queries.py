@@ -18,6 +18,7 @@ def queries() -> dict:
         "p2_counts": _of(reply_defects.counts, "model_calls", "run_records", "pairs"),
         "p3_found": _of(grouped_split.found, "retrieval_units", "pairs"),
         "p3_assign": _of(grouped_split.assign, "retrieval_units"),
+        "p3_balance": lambda spark, d: grouped_split.balance(grouped_split.assign(table(spark, d, "retrieval_units"))),
         "p4_found": _of(near_dups.found, "retrieval_units"),
         "p4_groups": _of(near_dups.groups, "retrieval_units"),
         "p5_found": _of(split_overlap.found, "pairs"),

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarrymill.llm import doc_pairs, encode, grouped_split, leakage, lookalike, near_dups, queries, reply_defects, split_overlap
 
@@ -169,17 +170,39 @@ def test_assign(spark):
     share = Counter(r["split"] for r in got)
     biggest = max(Counter(comp[r["project"]] for r in got).values())
     for s, p in zip(("train", "val", "test"), (0.8, 0.1, 0.1)):
-        assert abs(share[s] - 400 * p) <= max(biggest, 12)
+        assert abs(share[s] - 400 * p) <= max(8, biggest - 400 * 0.8)
     assert grouped_split.assign(units.limit(0)).count() == 0
 
 
-def test_assign_small_components(spark, monkeypatch):
-    monkeypatch.setattr(grouped_split, "HEAVY", 10.0)  # all placed by histogram
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_assign_shares(spark, sf):
+    got = grouped_split.assign(spark.read.parquet(f"/root/testdata/{sf}/retrieval_units.parquet")).cache()
+    share = {r["split"]: r["share"] for r in grouped_split.balance(got).where("label = 'all'").collect()}
+    assert all(abs(share[s] - p) <= 0.02 for s, p in (("train", 0.8), ("val", 0.1), ("test", 0.1)))
+    assert got.groupBy("component").agg({"split": "count"}).count() == got.select("component", "split").distinct().count()
+    labels = grouped_split.balance(got).where("split = 'train'").collect()
+    assert all(abs(r["share"] - 0.8) <= max(0.05, 20 / r["units"]) for r in labels if r["units"] > 10)
+
+
+@pytest.mark.parametrize("rows", [50_000, 40])
+def test_assign_small_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(grouped_split, "CELL_ROWS", rows)  # the small one splits every cell
     at = datetime(2031, 1, 1)
     data = [(f"u{i}", f"p{i // 2}", None, "x" * (1 + i % 50), "t", None, at) for i in range(3000)]
     units = spark.createDataFrame(data, "pair_id string, project string, group_id string, code string, natspec string, views map<string,string>, indexed_at timestamp")
     share = Counter(r["split"] for r in grouped_split.assign(units).collect())
-    assert abs(share["train"] - 2400) < 120 and abs(share["val"] - 300) < 90 and abs(share["test"] - 300) < 90
+    assert abs(share["train"] - 2400) <= 4 and abs(share["val"] - 300) <= 4 and sum(share.values()) == 3000
+
+
+def test_assign_own_labels(spark):
+    at = datetime(2031, 1, 1)
+    data = [(f"u{i}", f"p{i // 4}", None, "rare" if i < 80 else None, at) for i in range(800)]
+    units = spark.createDataFrame(data, "pair_id string, project string, group_id string, mark string, indexed_at timestamp")
+    got = grouped_split.assign(units, (0.5, 0.25, 0.25), F.array("mark", F.lit("any"), F.lit("any")))
+    units = {(r["split"], r["label"]): r["units"] for r in grouped_split.balance(got).collect()}
+    assert units == {(s, x): n * k for s, k in (("train", 2), ("val", 1), ("test", 1)) for x, n in (("all", 200), ("any", 200), ("rare", 20))}
+    with pytest.raises(ValueError):
+        grouped_split.assign(got.withColumn("group_id", F.lit(None).cast("string")).withColumn("indexed_at", F.lit(at)), labels=F.array("pair_id"))
 
 
 def test_assign_without_project(spark):
