@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import solidity as sol
@@ -51,33 +51,53 @@ def pairs_of(file: str | None, project: str | None, src: str) -> Iterator[tuple]
         )
 
 
-def documented_functions(files: DataFrame) -> DataFrame:
-    """Code-description pairs of Solidity files.
+def _parsed(files: DataFrame, at: Column) -> DataFrame:
+    """The pairs of every row of ``files`` that has text, with the row's ``at``, a number."""
+    schema = pa.schema([*_ARROW, ("at", pa.int64())])
 
-    Needs ``file``, ``project`` and ``src``; other columns are ignored. A row per documented declaration of
-    each distinct file. A null, empty or blank ``src`` gives no rows; text that does not parse gives what
-    stands before the broken part. The same file fetched again counts once (by ``file`` and offset);
-    if its text changed, each version's declarations count where their offsets differ. A null ``file`` is
-    one file of its own. An empty table gives an empty result.
-    """
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for f, p, s in zip(*(b.column(i).to_pylist() for i in range(3))):
-                rows.extend(pairs_of(f, p, s))
+            for f, p, s, t in zip(*(b.column(i).to_pylist() for i in range(4))):
+                rows.extend((*r, t) for r in pairs_of(f, p, s))
                 if len(rows) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                    yield batch(rows)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                yield batch(rows)
 
-    texts = files.where(F.col("src").isNotNull() & (F.length(F.trim("src")) > 0)).select("file", "project", "src")
-    return texts.mapInArrow(run, PAIR_SCHEMA)
+    return _with_text(files).select("file", "project", "src", at.cast("long").alias("at")).mapInArrow(run, PAIR_SCHEMA + ", at long")
+
+
+def _with_text(files: DataFrame) -> DataFrame:
+    return files.where(F.col("src").isNotNull() & (F.length(F.trim("src")) > 0))
+
+
+def documented_functions(files: DataFrame) -> DataFrame:
+    """Code-description pairs of Solidity files.
+
+    Needs ``file``, ``project`` and ``src``; other columns are ignored. A row per documented declaration of
+    each row of ``files``. A null, empty or blank ``src`` gives no rows; text that does not parse gives what
+    stands before the broken part. A file fetched again gives its rows again. A null ``file`` is one file of
+    its own. An empty table gives an empty result.
+    """
+    return _parsed(files, F.lit(0)).drop("at")
 
 
 def pairs_once(files: DataFrame) -> DataFrame:
-    return documented_functions(files).dropDuplicates(["file", "code_start"])
+    """The pairs of each file as last fetched, each once.
+
+    Needs ``fetched_at``, too. Where a file's text changed, its latest fetch counts (a null time is the
+    earliest); of fetches at one time, each declaration is taken once. Files are compared by name and time,
+    their texts stay where they are.
+    """
+    at = F.coalesce(F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(-(1 << 62)))
+    newest = _with_text(files).groupBy(F.col("file").alias("f")).agg(F.max(at).alias("newest"))
+    pairs = _parsed(files, at).join(newest, F.col("file").eqNullSafe(F.col("f")) & (F.col("at") == F.col("newest")), "left_semi")
+    return pairs.drop("at").dropDuplicates(["file", "code_start"])
 
 
 def found(files: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .lookalike import blocks, fold
 
 #: Words of the shortest leak, words of a shingle.
@@ -228,36 +230,79 @@ class ItemIndex:
 _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("likeness", pa.float64()), ("windows", pa.int32()), ("exact", pa.bool_())])
 
 
-def _scan(index: ItemIndex, floor: float, doc_ids: np.ndarray, col: pa.Array) -> Iterator[pa.RecordBatch]:
-    for lo, hi, c, offsets in blocks(col, 250_000):
-        w, sizes, at = words(c, offsets)
-        if len(w) < index.window:
-            continue
-        parts = []
-        for a, b in index.sharing(w, sizes, at, floor) if floor < 1 else [index.near(simhash(w, index.window))]:
-            row = np.searchsorted(at, a, "right") - 1
-            inside = a + index.window <= at[row + 1]
-            a, b, row = a[inside], b[inside], row[inside]
-            like = index.likeness(w, sizes, a, b)
-            exact = np.zeros(len(a), bool)
-            exact[like == 1] = index.same(w, a[like == 1], b[like == 1])
-            ok = like >= floor
-            parts.append((row[ok], b[ok], like[ok], exact[ok]))
-        if not sum(len(p[0]) for p in parts):
-            continue
-        row, b, like, exact = (np.concatenate(x) for x in zip(*parts))
-        ok = slice(None)
-        doc, item, like, exact = doc_ids[lo + row[ok]], index.item[b[ok]], like[ok], exact[ok]
-        order = np.lexsort((item, doc))
-        doc, item, like, exact = doc[order], item[order], like[order], exact[order]
-        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(doc[head]), pa.array(item[head]), pa.array(np.maximum.reduceat(like, head)),
-                pa.array(np.diff(np.append(head, len(doc))).astype(np.int32)), pa.array(np.maximum.reduceat(exact, head)),
-            ],
-            schema=_OUT,
-        )
+def _scan(index: ItemIndex, floor: float, doc_ids: np.ndarray, w: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows of documents that reach the floor; ``at``: the number of words before each document, and in all."""
+    if len(w) < index.window:
+        return
+    parts = []
+    for a, b in index.sharing(w, sizes, at, floor) if floor < 1 else [index.near(simhash(w, index.window))]:
+        row = np.searchsorted(at, a, "right") - 1
+        inside = a + index.window <= at[row + 1]
+        a, b, row = a[inside], b[inside], row[inside]
+        like = index.likeness(w, sizes, a, b)
+        exact = np.zeros(len(a), bool)
+        exact[like == 1] = index.same(w, a[like == 1], b[like == 1])
+        ok = like >= floor
+        parts.append((row[ok], b[ok], like[ok], exact[ok]))
+    if not sum(len(p[0]) for p in parts):
+        return
+    row, b, like, exact = (np.concatenate(x) for x in zip(*parts))
+    doc, item = doc_ids[row], index.item[b]
+    order = np.lexsort((item, doc))
+    doc, item, like, exact = doc[order], item[order], like[order], exact[order]
+    head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))))
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(doc[head]), pa.array(item[head]), pa.array(np.maximum.reduceat(like, head)),
+            pa.array(np.diff(np.append(head, len(doc))).astype(np.int32)), pa.array(np.maximum.reduceat(exact, head)),
+        ],
+        schema=_OUT,
+    )
+
+
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, words, their lengths, words before each document) of a batch of ids and texts."""
+    ids = b.column(0).to_numpy(zero_copy_only=False)
+    for lo, hi, c, offsets in blocks(b.column(1), 250_000):
+        yield ids[lo:hi], *words(c, offsets)
+
+
+def _worded(docs: DataFrame, window: int) -> DataFrame:
+    """``doc_id``, ``words`` and ``sizes`` of the documents that have a window at all."""
+    out = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, w, sizes, at in _texts(b):
+                at = pa.array(at.astype(np.int32))
+                got = pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(at, pa.array(w.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(sizes))], schema=out)
+                yield got.filter(pa.array(np.diff(at) >= window))
+
+    return docs.mapInArrow(run, "doc_id long, words array<long>, sizes array<int>")
+
+
+def _lists(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``_texts``, of a batch of ``_worded``."""
+    sizes = np.asarray(pa.compute.list_value_length(b.column(1))).astype(np.int64)
+    w = np.asarray(b.column(1).flatten()).view(np.uint64)
+    yield b.column(0).to_numpy(zero_copy_only=False), w, np.asarray(b.column(2).flatten()), np.concatenate(([0], np.cumsum(sizes)))
+
+
+_BUILT: dict[tuple, ItemIndex] = {}
+
+
+def _index_of(key: tuple, ids: list, texts: list[str], window: int, radius: int) -> ItemIndex:
+    """The index of a block of items; a Python worker builds it once and keeps the last one."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        parts, sizes, at = [], [], [0]
+        for _, _, c, offsets in blocks(pa.array(texts, pa.string())):
+            w, n, ends = words(c, offsets)
+            parts.append(w)
+            sizes.append(n)
+            at.extend((at[-1] + ends[1:]).tolist())
+        _BUILT[key] = ItemIndex(np.array(ids, np.int64), np.concatenate(parts), np.concatenate(sizes), np.array(at), window, radius)
+    return _BUILT[key]
 
 
 def _item_blocks(items: DataFrame, size: int) -> Iterator[list]:
@@ -279,30 +324,33 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, radius: int =
     A row per document and item with ``likeness`` (the best of its windows), ``windows`` (how many pairs of
     windows reach ``floor``) and ``exact`` (whether one holds the item's words, all in order). Words are
     runs of letters and digits in the consistent form, in lower case. Null, empty and shorter texts have no
-    window. No pair of windows that reaches ``floor`` is missed; ``radius`` only serves a floor of 1. Items with equal text each count, and so do documents. The items are a stated query set: they
-    meet all documents in blocks of ``item_block`` words at most, one block in a task's memory at a time.
+    window. No pair of windows that reaches ``floor`` is missed; ``radius`` only serves a floor of 1. Items with
+    equal text each count, and so do documents. The items are a stated query set: they meet all documents in
+    blocks of ``item_block`` words at most, one block in a task's memory at a time. Where there are several
+    blocks, the documents are folded into words once, and the table of words is what the blocks go over.
     """
+    schema = "doc_id long, item_id long, likeness double, windows int, exact boolean"
     out = None
-    for block in _item_blocks(items, item_block):
-        ids = [r["item_id"] for r in block]
-        texts = [r["text"] for r in block]
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
-            parts, sizes, at = [], [], [0]
-            for _, _, c, offsets in blocks(pa.array(texts, pa.string())):
-                w, n, ends = words(c, offsets)
-                parts.append(w)
-                sizes.append(n)
-                at.extend((at[-1] + ends[1:]).tolist())
-            index = ItemIndex(np.array(ids, np.int64), np.concatenate(parts), np.concatenate(sizes), np.array(at), window, radius)
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    todo = _item_blocks(items, item_block)
+    block = next(todo, None)
+    while block is not None:
+        following = next(todo, None)
+        if out is None:
+            source, parts_of = (texts, _texts) if following is None else (cut(_worded(texts, window)), _lists)
+        ids, its = [r["item_id"] for r in block], [r["text"] for r in block]
+        key = (xxhash.xxh64_intdigest(repr((ids, its))), window, radius)
+
+        def run(batches: Iterator[pa.RecordBatch], key=key, ids=ids, its=its, parts_of=parts_of) -> Iterator[pa.RecordBatch]:
+            index = _index_of(key, ids, its, window, radius)
             for b in batches:
-                yield from _scan(index, floor, b.column(0).to_numpy(zero_copy_only=False), b.column(1))
+                for part in parts_of(b):
+                    yield from _scan(index, floor, *part)
 
-        part = docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, likeness double, windows int, exact boolean")
+        part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, likeness double, windows int, exact boolean")
-    return out
+        block = following
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -18,18 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .wordsets import meet
 
 #: Characters handled at once. Larger texts are handled alone, whole.
 BLOCK_CHARS = 400_000
 
-# Letters that look like Latin ones (Cyrillic, then Greek, then others).
-_LOOK_ALIKE = dict(
-    zip(
-        "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХІЈЅҮԌԚԜοανΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϲϳⅼıƖ‐‑",
-        "aeopcyxijshdqwlABEKMHOPCTXIJSYGQWoavABEZHIKMNOPTYXCcjlil--",
-        strict=True,
-    )
-)
+# Letters that look like Latin ones. Letters in another style (bold, italic, double-struck,
+# full-width and so on) are not listed; Unicode's own decompositions give them.
+_CYRILLIC = ("аеорсухіјѕһԁԛԝӏѵАВЕКМНОРСТХІЈЅҮԌԚԜѴҺ", "aeopcyxijshdqwlvABEKMHOPCTXIJSYGQWVH")
+_GREEK = ("οανρϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "oavpcjABEZHIKMNOPTYXCJ")
+_ARMENIAN = ("օոսցզհՕՍԼ", "onugqhOUL")
+_CHEROKEE = ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏎᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTiYAJEWMHYGZ4RWVSLCPKB")
+_OTHER = ("ɡⅼƖ‐‑", "glI--")
+_LOOK_ALIKE = {a: b for odd, latin in (_CYRILLIC, _GREEK, _ARMENIAN, _CHEROKEE, _OTHER) for a, b in zip(odd, latin, strict=True)}
 _BLANKS = [0x09, 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 _BREAKS = [0x0A, 0x0B, 0x0C, 0x85, 0x2028, 0x2029]
 _SPELLED_OUT = [*range(0xFB00, 0xFB07), 0x132, 0x133, *range(0x1C7, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2160, 0x2180)]
@@ -85,7 +86,7 @@ class Tables:
             return ch
         if _invisible(c):
             return ""
-        if c in _SPELLED_OUT or ud.decomposition(ch).startswith(("<wide>", "<narrow>", "<noBreak>")):
+        if c in _SPELLED_OUT or ud.decomposition(ch).startswith(("<wide>", "<narrow>", "<noBreak>", "<font>")):
             ch = ud.normalize("NFKC", ch)
         return "".join(_LOOK_ALIKE.get(x, x) for x in ud.normalize("NFD", ch))
 
@@ -217,6 +218,9 @@ def fold(c: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     twice = np.flatnonzero(blank[1:] & blank[:-1]) + 1
     twice = twice[~np.isin(twice, offsets)] if len(twice) else twice
     c, offsets = _without(c, offsets, twice)
+    # nor is there one before a line's end
+    last = np.flatnonzero((c[:-1] == _SPACE) & (c[1:] == _LF))
+    c, offsets = _without(c, offsets, last[~np.isin(last + 1, offsets)] if len(last) else last)
     return _without(c, offsets, _edges(c, offsets))
 
 
@@ -245,8 +249,8 @@ def fold_array(col: pa.Array) -> pa.Array:
 def consistent_form(text):
     """Column of texts in one consistent form: texts that look the same become equal.
 
-    Invisible characters go; every kind of blank is one space, runs of them one, none at the ends; line
-    ends are LF; full-width forms, ligatures and letters of other scripts that look like Latin ones become
+    Invisible characters go; every kind of blank is one space, runs of them one, none at the ends of the text
+    or of a line; line ends are LF; full-width and styled forms, ligatures and letters of other scripts that look like Latin ones become
     those; accents are composed. Case, accents, digits and real letters stay. Null gives null, a text
     without visible characters the empty text. Texts of any length are taken whole.
     """
@@ -276,8 +280,8 @@ def found(docs: DataFrame) -> DataFrame:
     keyed = cut(docs.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("stored"), look)).where("look is not null")
     texts = keyed.select("look", "stored").distinct()
     several = texts.groupBy("look").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("look")
-    texts = texts.join(several, "look", "left_semi")
-    ab = texts.select("look", F.col("stored").alias("a")).join(texts.select("look", F.col("stored").alias("b")), "look").where("a < b").select("a", "b")
+    texts = cut(texts.join(several, "look", "left_semi"))
+    ab = meet(texts.select("look", F.col("stored").alias("a")), texts.select("look", F.col("stored").alias("b")), "look", "b").where("a < b").select("a", "b")
     left = keyed.select(F.col("stored").alias("a"), F.col("doc_id").alias("x")).distinct()
     right = keyed.select(F.col("stored").alias("b"), F.col("doc_id").alias("y")).distinct()
     return ab.join(left, "a").join(right, "b").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()

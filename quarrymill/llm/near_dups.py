@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import cut
-from .wordsets import joined, likeness, set_key, with_sets, word_set
+from .wordsets import KEY_ROWS, joined, likeness, meet, set_key, with_sets, word_set
 
 #: Places of the ring; bands and coordinates of each. At likeness 0.75 a pair is missed with odds of 4e-6.
 RING, BANDS, ROWS = 1 << 18, 64, 6
@@ -76,29 +76,29 @@ def band_keys(words: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
 
 
 def classed(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (``pair_id``, ``class``) and classes (``class``, ``words``) of the units that have words.
+    """Members (``pair_id``, ``class``) and classes (``class``, ``words``, ``n``, ``keys``) of the units that have words.
 
     A class is a distinct word set. It is numbered once the table of classes is written, so its number is
-    short and stays; members of repeated units appear once.
+    short and stays while a query runs; results never show it. Members of repeated units appear once.
     """
     base = units.where("pair_id is not null").select("pair_id", word_set(joined("code", "natspec")).alias("words")).where(F.size("words") > 0)
     base = cut(base.select("pair_id", "words", set_key(F.col("words")).alias("set")))
-    classes = cut(base.groupBy("set").agg(F.first("words").alias("words")).withColumn("class", F.monotonically_increasing_id()))
-    members = base.select("pair_id", "set").distinct().join(classes.select("set", "class"), "set").select("pair_id", "class")
-    return members, classes.select("class", "words")
+    classes = base.groupBy("set").agg(F.first("words").alias("words")).withColumn("class", F.monotonically_increasing_id())
+    classes = cut(classes.select("set", "class", "words", F.size("words").alias("n"), band_keys(F.col("words")).alias("keys")))
+    members = cut(base.select("pair_id", "set").distinct().join(classes.select("set", "class"), "set").select("pair_id", "class"))
+    return members, classes.drop("set")
 
 
-def similar_classes(classes: DataFrame, threshold: float = 0.75) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold: float = 0.75, key_rows: int = KEY_ROWS) -> DataFrame:
     """Pairs of classes (``a`` < ``b``, ``likeness``) at or above the threshold.
 
-    Band keys are shuffled once and joined with themselves: classes meet only if they share a bucket, and
-    a pair seen in several bands is verified once.
+    Classes meet only if they share a band's key; hot keys are split (see ``meet``). A pair whose sizes rule
+    it out is dropped before it is shuffled, and one seen in several bands is verified once.
     """
-    keys = classes.select("class", F.explode(band_keys(F.col("words"))).alias("key"))
-    pairs = keys.select("key", F.col("class").alias("a")).join(keys.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    keyed = lambda x: classes.select(F.explode("keys").alias("key"), F.col("class").alias(x), F.col("n").alias(f"n_{x}"))
+    pairs = meet(keyed("a"), keyed("b"), "key", "b", key_rows).where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)).select("a", "b").distinct()
     sized = with_sets(pairs, classes, "a", "b", "class")
-    small, big = F.least(F.size("words_a"), F.size("words_b")), F.greatest(F.size("words_a"), F.size("words_b"))
-    return sized.where(small >= threshold * big).withColumn("likeness", likeness("words_a", "words_b")).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+    return sized.withColumn("likeness", likeness("words_a", "words_b")).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
 
 
 def found(units: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -109,20 +109,25 @@ def found(units: DataFrame, threshold: float = 0.75) -> DataFrame:
     expanded by membership at the end, copies by the class they share.
     """
     members, classes = classed(units)
-    pairs = similar_classes(classes, threshold).select("a", "b").union(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b")))
+    own = members.groupBy("class").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
+    pairs = similar_classes(classes, threshold).select("a", "b").union(own)
     left = members.select(F.col("class").alias("a"), F.col("pair_id").alias("x"))
     right = members.select(F.col("class").alias("b"), F.col("pair_id").alias("y"))
-    out = pairs.join(left, "a").join(right, "b").where("x <> y and (a <> b or x < y)")
+    out = meet(meet(pairs, left, "a", "x").select("b", "x", "a"), right, "b", "y").where("x <> y and (a <> b or x < y)")
     return out.select(F.least("x", "y").alias("pair_id_a"), F.greatest("x", "y").alias("pair_id_b")).distinct()
 
 
 def groups(units: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """One row per unit: the group it belongs to (named by the least number of its classes) and the number of similar classes."""
+    """One row per unit and text: ``class`` and ``group``, each named by the least ``pair_id`` in it, and ``links``, the number of similar classes.
+
+    Units of one class have the same words; a group is what is alike, also through others. Names and links
+    hang on the units alone, not on how they lie in partitions.
+    """
     members, classes = classed(units)
     pairs = cut(similar_classes(classes, threshold).select("a", "b"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     comp = components(pairs).select(F.col("node").alias("class"), "component")
-    return (
-        members.join(ends, "class", "left").join(comp, "class", "left")
-        .select("pair_id", "class", F.coalesce("component", "class").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    named = members.groupBy("class").agg(F.min("pair_id").alias("name")).join(links, "class", "left").join(comp, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    group = named.groupBy("component").agg(F.min("name").alias("group"))
+    named = named.join(group, "component").select("class", "name", "group", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(named, "class").select("pair_id", F.col("name").alias("class"), "group", "links")

@@ -3,8 +3,8 @@
 A reply is taken out of its wrapping (lead-in, fence, JSON, comment marks) with a stack of open
 delimiters: what is still open at the end was cut off. Copies are measured with a suffix automaton of the
 prompt that the reply's words traverse; refusals are found by an Aho-Corasick automaton of phrases;
-languages vote by script and stopwords. Whether an answer without a full stop ends in a fragment is judged
-by how its last word is used over all answers.
+languages vote by script and stopwords. An answer without a full stop whose last word no answer uses
+otherwise is cut off.
 """
 
 from __future__ import annotations
@@ -39,7 +39,10 @@ _STOPWORDS = {
     "es": "el los las la y quien también ninguna ningún mientras puede podrá es una un del al se en por para con que su sus no lo como antes después cada si está son fue ya hasta según sin cuando sobre pero este esta función de",
     "pt": "o os as e também nenhuma nenhum enquanto pode poderá é uma um do da dos das ao na no nas nos em por para com que se não são foi está ser já até segundo antes depois cada quando sobre mas este esta função de",
 }
-_SCRIPT = {"ru": re.compile("[Ѐ-ӿ]"), "zh": re.compile("[㐀-鿿]")}
+_SCRIPT = {
+    "ja": re.compile("[\u3041-\u30ff]"), "ko": re.compile("[\u1100-\u11ff\uac00-\ud7af]"), "zh": re.compile("[㐀-鿿]"), "ru": re.compile("[Ѐ-ӿ]"), "el": re.compile("[\u0370-\u03ff]"),
+    "he": re.compile("[\u0590-\u05ff]"), "ar": re.compile("[\u0600-\u06ff]"), "hi": re.compile("[\u0900-\u097f]"), "th": re.compile("[\u0e00-\u0e7f]"),
+}
 _REFUSALS = (
     "i cannot", "i can't", "i can not", "i won't", "i will not", "i'm unable", "i am unable", "i'm not able", "i am not able", "i'd rather not", "i would rather not",
     "i must decline", "i have to decline", "i respectfully decline", "i decline to", "i refuse", "i'm afraid", "i am afraid", "i'm sorry", "i am sorry", "i don't feel comfortable",
@@ -93,7 +96,7 @@ def language(text: str) -> str | None:
         letters = sum(map(len, words))
         for name, script in _SCRIPT.items():
             n = len(script.findall(text))
-            if n > 3 and n * (3 if name == "zh" else 1) >= 0.4 * letters:
+            if n > 3 and n * (3 if name in ("zh", "ja", "ko") else 1) >= 0.4 * letters:
                 return name
     table = _votes()
     votes = Counter(k for w in words for k in table.get(w.lower(), ())).most_common(2)
@@ -153,6 +156,12 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _TOKEN.findall(text)]
 
 
+@lru_cache(64)
+def _runs_of(prompt: str) -> SuffixAutomaton:
+    """The prompt's automaton; the replies to one prompt share it."""
+    return SuffixAutomaton(words_of(prompt))
+
+
 def copies(reply: list[str], prompt: str) -> bool:
     """Whether the reply's words are mostly the prompt's, in the prompt's order.
 
@@ -167,7 +176,7 @@ def copies(reply: list[str], prompt: str) -> bool:
             spare -= 1
             if spare < 0:
                 return False
-    return SuffixAutomaton(words_of(prompt)).covered(reply, min(COPY_RUN, len(reply))) >= COPY_SHARE * len(reply)
+    return _runs_of(prompt).covered(reply, min(COPY_RUN, len(reply))) >= COPY_SHARE * len(reply)
 
 
 def _open_at_end(text: str) -> bool:
@@ -348,8 +357,10 @@ def found(calls: DataFrame, runs: DataFrame, pairs: DataFrame) -> DataFrame:
     run without its pair is judged without code. The first that applies of empty, refusal, copied,
     truncated by its wrapping, language and truncated is the defect. Repeated records count once.
 
-    An answer that ends without a stop in an ordinary word is cut off if, over all answers, that word never
-    stands before a stop, and either never stands inside an answer or does so often (ten times).
+    An answer that ends without a stop in a word that answers do not otherwise use is cut off: over all
+    answers, the word stands inside them or before a stop no more often than at such an end. The two numbers
+    grow alike, so a table twice as large with the same texts gives the same, and a stray use clears nothing
+    that ends so as often.
     """
     code = latest(pairs, "code", "signature").select(F.col("id").alias("pair_id"), F.concat_ws("\n", "signature", "code").alias("prompt"))
     done = runs.where(F.col("error").isNull() & F.col("run_id").isNotNull()).select("run_id", "pair_id", "final")
@@ -358,8 +369,9 @@ def found(calls: DataFrame, runs: DataFrame, pairs: DataFrame) -> DataFrame:
     got = cut(_replies(asked, "model_calls", None).unionByName(_replies(comments, "run_records", "en")))
     sure = got.where("defect is not null").select("rec_table", "rec_id", "defect")
     suspects = got.where("defect is null and last is not null").select("rec_table", "rec_id", F.col("last").alias("word"))
-    words = got.where("word is not null").groupBy("word").agg(F.sum("inside").alias("inside"), F.sum("stops").alias("stops"))
-    whole = words.where("stops > 0 or inside between 1 and 9").select("word")
+    used = got.where("word is not null").groupBy("word").agg(F.sum(F.col("inside") + F.col("stops")).alias("used"))
+    ends = suspects.groupBy("word").agg(F.count(F.lit(1)).alias("ends"))
+    whole = ends.join(used, "word").where("used > ends").select("word")
     broken = suspects.join(whole, "word", "left_anti").select("rec_table", "rec_id", F.lit("truncated").alias("defect"))
     return sure.unionByName(broken).distinct()
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .wordsets import joined, likeness, set_key, word_set
+from .wordsets import KEY_ROWS, joined, likeness, meet, set_key, word_set
 
 #: Words are counted in this many buckets: the counts that go to every task are of fixed size, whatever the
 #: vocabulary. Any order is exact; counts only make it a good one.
@@ -60,24 +60,24 @@ def _prefix(ordered: DataFrame, name: str, threshold: float) -> DataFrame:
     return ordered.select(F.col("class").alias(name), n.alias(f"n_{name}"), F.posexplode(F.slice("ordered", F.lit(1), keep)).alias(f"at_{name}", "word"))
 
 
-def similar(evals: DataFrame, train: DataFrame, threshold: float = 0.75) -> DataFrame:
+def similar(evals: DataFrame, train: DataFrame, threshold: float = 0.75, key_rows: int = KEY_ROWS) -> DataFrame:
     """Pairs (``e``, ``t``, ``likeness``) of classes of evaluation and training word sets at or above the threshold.
 
     Both need ``class`` and ``words``, one row per class. Exact: the prefix of a set of n words holds
     n - ceil(threshold n) + 1, and a pair is only dropped if its sizes, or the words left after the first
-    shared one, cannot reach the threshold.
+    shared one, cannot reach the threshold. A word that stands in very many prefixes is split (see ``meet``).
     """
     both = evals.unionByName(train)
     counts = bucket_counts(both)
-    order = lambda d: d.select("class", rare_first(F.col("words"), counts).alias("ordered"))
+    order = lambda d: cut(d.select("class", rare_first(F.col("words"), counts).alias("ordered")))
     index, probe = _prefix(order(evals), "e", threshold), _prefix(order(train), "t", threshold)
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_e") + F.col("n_t")) - F.lit(1e-9))
     left = F.least(F.col("n_e") - F.col("at_e"), F.col("n_t") - F.col("at_t"))
-    pairs = probe.join(index, "word").where((F.least("n_e", "n_t") >= threshold * F.greatest("n_e", "n_t") - 1e-9) & (left >= need))
+    pairs = meet(probe, index, "word", "e", key_rows).where((F.least("n_e", "n_t") >= threshold * F.greatest("n_e", "n_t") - 1e-9) & (left >= need))
     pairs = pairs.select("e", "t").distinct()
     e = evals.select(F.col("class").alias("e"), F.col("words").alias("words_e"))
     t = train.select(F.col("class").alias("t"), F.col("words").alias("words_t"))
-    return pairs.join(e, "e").join(t, "t").withColumn("likeness", likeness("words_e", "words_t")).where(F.col("likeness") >= threshold).select("e", "t", "likeness")
+    return pairs.join(e.hint("merge"), "e").join(t.hint("merge"), "t").withColumn("likeness", likeness("words_e", "words_t")).where(F.col("likeness") >= threshold).select("e", "t", "likeness")
 
 
 def _overlaps(pairs: DataFrame, threshold: float) -> DataFrame:

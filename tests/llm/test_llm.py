@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrymill.llm import doc_pairs, encode, grouped_split, leakage, lookalike, near_dups, queries, reply_defects, split_overlap
+from quarrymill.llm import doc_pairs, encode, grouped_split, leakage, lookalike, near_dups, queries, reply_defects, split_overlap, wordsets
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile("[a-z0-9_]+")
@@ -86,6 +86,19 @@ def test_pairs_awkward(spark):
     assert len(list(doc_pairs.pairs_of("f", "p", crlf))) == 5
 
 
+def test_pairs_of_latest_fetch(spark):
+    new = SOURCE.replace("Adds two numbers", "Sums two numbers").replace("function sum(", "function addition(")
+    at = [datetime(2031, 1, k) for k in (1, 2, 3)]
+    df = spark.createDataFrame(
+        [("a", "p", SOURCE, at[0]), ("a", "p", "// note\n" + new, at[1]), ("a", "p", "// note\n" + new, at[1]), ("a", "p", " ", at[2]), ("b", "p", SOURCE, None), (None, "p", SOURCE, None)],
+        "file string, project string, src string, fetched_at timestamp",
+    )
+    got = doc_pairs.pairs_once(df).collect()
+    names = lambda f: sorted(r["name"] for r in got if r["file"] == f)
+    assert names("a") == ["addition", "constructor", "fallback", "move", "receive"]
+    assert names("b") == names(None) == ["constructor", "fallback", "move", "receive", "sum"]
+
+
 # 2 -----------------------------------------------------------------------------------------------------
 
 PROMPT = "Document the function below as NatSpec.\n\nfunction moveAll(address to) external returns (bool) { total[to] += balance; emit Moved(to, balance); return true; }"
@@ -131,6 +144,30 @@ def test_replies_awkward(spark):
     assert rows(reply_defects.found(calls.limit(0), runs.limit(0), pairs.limit(0))) == []
 
 
+def test_replies_of_larger_tables(spark):
+    """A reply's verdict does not hang on how often its table holds the same texts, nor on one stray use of a fragment."""
+    texts = ["Settles the claim at the current margin", "Adds a margin to the pool. Keeps the rest.", "Moves it to settlem", "Reads the margin of a claim, then the pool.", "Empties the pool for good"]
+    empty = spark.createDataFrame([], "run_id long, pair_id string, final string, error string, id string, written_at timestamp, signature string, code string")
+
+    def verdicts(texts, times):
+        data = [(k * 100 + i, PROMPT, t) for k in range(times) for i, t in enumerate(texts)]
+        calls = spark.createDataFrame(data, "call_id long, prompt string, raw string")
+        return {(i % 100, what) for _, i, what in rows(reply_defects.found(calls, empty, empty))}
+
+    want = verdicts(texts, 1)
+    assert (2, "truncated") in want and not {i for i, _ in want} & {0, 1, 3}
+    assert all(verdicts(texts, k) == want for k in (2, 30))
+    assert (2, "truncated") in verdicts([*texts, "The word settlem, once."], 1)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("Эта функция переводит остаток", "ru"), ("この関数は残高を移します", "ja"), ("이 함수는 잔액을 옮깁니다", "ko"), ("这个函数转移余额", "zh"), ("Αυτή η συνάρτηση μεταφέρει το υπόλοιπο", "el"), ("هذه الدالة تنقل الرصيد", "ar"), ("This moves the balance to the owner", "en"), ("balance", None)],
+)
+def test_language(text, want):
+    assert reply_defects.language(text) == want
+
+
 # 3 -----------------------------------------------------------------------------------------------------
 
 
@@ -290,6 +327,52 @@ def test_split_overlap(spark):
     assert split_overlap.report(df).agg({"overlaps": "sum"}).first()[0] == len(want)
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(20)]
+    data = [(f"u{i:02}", " ".join(common + rng.sample([f"r{k}" for k in range(40)], rng.randrange(6))), None) for i in range(60)]
+    df = spark.createDataFrame(data, "pair_id string, code string, natspec string").repartition(3)
+    sets = {i: words(c) for i, c, _ in data}
+    want = [(a, b) for a in sorted(sets) for b in sorted(sets) if a < b and like(sets[a], sets[b]) >= 0.75]
+    _, classes = near_dups.classed(df)
+    named = {r["class"]: r["set"] for r in classes.select("class", F.array_sort("words").alias("set")).collect()}
+    pairs = lambda rows_: sorted((r["a"], r["b"]) for r in near_dups.similar_classes(classes, key_rows=rows_).collect())
+    assert pairs(3) == pairs(4096) and len(pairs(3)) > 100 and len(named) > 40
+    for module in (near_dups, split_overlap):
+        monkeypatch.setattr(module, "KEY_ROWS", 3)
+    monkeypatch.setattr("quarrymill.llm.wordsets.meet.__defaults__", (3,))
+    assert rows(near_dups.found(df)) == want
+    left, right = (spark.createDataFrame([(k, i) for k in range(4) for i in range(n * (k == 0) + 2)], f"k int, {x} int") for n, x in ((30, "a"), (50, "b")))
+    assert rows(wordsets.meet(left, right, "k", "b")) == rows(left.join(right, "k"))
+
+
+def test_groups_do_not_hang_on_partitions(spark):
+    units = spark.read.parquet("/root/testdata/sf0.01/retrieval_units.parquet")
+    want = rows(near_dups.groups(units))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert rows(near_dups.groups(units.repartition(5))) == want and len({r[0] for r in want}) == len(want)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs with a likeness just above the threshold, by brute force: none may be missing."""
+    rng = random.Random(11)
+    data, want = [], []
+    for i in range(600):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(56)]
+        edit = base[: 56 - 8] + [f"x{rng.randrange(10**6)}" for _ in range(8)]  # 48 of 64 words in common
+        data += [(f"a{i:03}", " ".join(base), None), (f"b{i:03}", " ".join(edit), None)]
+        if like(words(*data[-1][1:]), words(*data[-2][1:])) >= 0.75:
+            want.append((f"a{i:03}", f"b{i:03}"))
+    got = rows(near_dups.found(spark.createDataFrame(data, "pair_id string, code string, natspec string")))
+    assert len(want) > 550 and set(got) >= set(want)
+
+
 # 6 -----------------------------------------------------------------------------------------------------
 
 ALPHABET = " \n\t\r 　\x1c\x85ab1.,'sé́中🧪!\"<|endoftext|>"
@@ -402,7 +485,7 @@ def plain_fold(s):
     for ch in s:
         out.append(lookalike.Tables._expand(ch) if not 0xAC00 <= ord(ch) <= 0xD7A3 else ch)
     t = unicodedata.normalize("NFC", "".join(out).replace("\r\n", "\n").replace("\r", "\n"))
-    return re.sub(" +", " ", t).strip(" \n")
+    return re.sub(" \n", "\n", re.sub(" +", " ", t)).strip(" \n")
 
 
 @given(st.lists(st.text("ab é ȩ́̈​­ 　\t\r\nﬁﬃｆＡа欧한ᄒ한ёй中🧪1", max_size=40), max_size=5))
@@ -411,6 +494,20 @@ def test_fold_like_plain(texts):
     assert lookalike.fold_array(pa.array(texts, pa.string())).to_pylist() == [plain_fold(t) for t in texts]
 
 
+@pytest.mark.parametrize(
+    "odd, latin",
+    [("𝐚𝑏𝒞𝔡𝕖𝗳𝚐𝟎ℂℍ", "abCdefg0CH"), ("ｆｕｌｌ", "full"), ("ρɡοѵ", "pgov"), ("օո", "on"), ("ᎪᎷᏟ", "AMC"), ("foo \nbar", "foo\nbar"), ("foo\u00a0\r\nbar", "foo\nbar"), ("Ⅷ", "VIII"), ("no‑break", "no-break")],
+)
+def test_same_look(odd, latin):
+    assert lookalike.fold_array(pa.array([odd, latin])).to_pylist() == [latin, latin]
+
+
+@pytest.mark.parametrize("a, b", [("ı", "i"), ("e", "é"), ("a", "A"), ("κ", "k"), ("l", "1"), ("a\nb", "a b")])
+def test_other_look(a, b):
+    got = lookalike.fold_array(pa.array([a, b])).to_pylist()
+    assert got[0] != got[1]
+
+
 def test_lookalikes(spark):
     data = [(1, "file one"), (2, "ﬁle one"), (3, "ﬁle one"), (4, "filе one​"), (5, "File one"), (6, "filé one"), (7, "filé one"), (8, None), (9, ""), (10, "​"), (11, " "), (12, "x")]
     docs = spark.createDataFrame([(i, t, t) for i, t in data], "doc_id long, text string, look string")
