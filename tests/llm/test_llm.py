@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from datetime import datetime
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -534,3 +535,15 @@ def test_lookalike_pairs_of_real_texts(spark):
 def test_runs(spark, name):
     df = queries.queries()[name](spark, DATA)
     assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same(spark, name):
+    where = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("pairs", "retrieval_units", "documents", "eval_items"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{where}/{t}.parquet'")
+    r = con.execute(queries.oracle_sql()[name])
+    columns = [x[0] for x in r.description]
+    got = rows(queries.queries()[name](spark, where).select(*columns))
+    assert got == sorted(r.fetchall(), key=lambda r: [(x is not None, x) for x in r]) and got
