@@ -52,22 +52,6 @@ def judge(pairs: DataFrame) -> DataFrame:
     return p.select("id", F.concat(text, F.array_compact(missing), extra, rets).alias("defects"))
 
 
-def gate_kind(name: Column) -> Column:
-    """caller, reentrancy, state or other, from a modifier's name."""
-    # fixed values
-    roots = ["initializing", "initialized", "paused", "notpaused", "whennotpaused", "open", "active", "closed", "once", "live", "started", "ended", "proxy", "delegated"]
-    low = F.lower(name)
-    parts = split_identifier(name)
-    rest = F.array_join(F.slice(parts, 2, 99), "")
-    return (
-        F.when(low.isin("nonreentrant", "noreentrant", "noreentrancy", "lock", "mutex"), "reentrancy")
-        .when(low.isin("auth", "authorized", "authorised", "requiresauth", "restricted", "onlyrole", "permissioned"), "caller")
-        .when((parts[0] == "when") | (parts[0] == "only") & rest.isin(*roots), "state")
-        .when(parts[0] == "only", "caller")
-        .otherwise("other")
-    )
-
-
 def leading_verb(text: Column) -> Column:
     """The first word, lower-case, without a third person's ending."""
     w = F.lower(F.regexp_extract(F.trim(text), r"^[^A-Za-z]*([A-Za-z]+)", 1))

@@ -181,16 +181,6 @@ def judge_defects(spark, d):
     return j.groupBy(F.substring_index("x", ":", 1).alias("defect")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def gate_kinds(spark, d):
-    @F.udf("array<string>")
-    def names(src):
-        return [x.name for x in solidity.declarations(solidity.code_view(src)) if x.kind == "modifier"] if src else []
-
-    m = table(spark, d, "source_files").dropDuplicates(["file"]).select(F.explode(names("src")).alias("name"))
-    return m.groupBy(classify.gate_kind(F.col("name")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
 def declarations(spark, d):
     @F.udf("array<struct<kind:string,name:string,container:string,start:int,body:boolean>>")
