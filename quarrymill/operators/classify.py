@@ -19,7 +19,7 @@ def prose() -> Column:
 def header_params(code: Column) -> Column:
     """Names of the parameters in a header: the last word of each."""
     inner = F.regexp_extract(code, r"(?s)^[^(]*\(([^()]*)\)", 1)
-    parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(inner, ","), lambda p: F.trim(p)), lambda p: p != "")
     last = F.transform(parts, lambda p: F.regexp_extract(p, r"\s([A-Za-z_$][\w$]*)$", 1))
     return F.filter(last, lambda p: (p != "") & ~p.isin("memory", "calldata", "storage", "payable"))
 

@@ -68,7 +68,7 @@ def _gate(name: Column) -> Column:
 
 def modifier_gates(names: Column) -> Column:
     """Gates of modifiers listed by name; blank names are none."""
-    listed = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), F.trim), lambda n: n != "")
+    listed = F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda n: F.trim(n)), lambda n: n != "")
     return F.transform(listed, _gate)
 
 
