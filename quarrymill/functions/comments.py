@@ -87,11 +87,26 @@ def json_keys(text: Column) -> Column:
 
 
 def exposed_members(src: str | None) -> list[tuple[str, str, bool]]:
-    """(kind, name, documented) of constructors and of public and external functions."""
+    """(kind, signature, documented) of constructors, of public and external functions, of events and of errors."""
     if not src:
         return []
     parts = solidity.spans(src)
     code = solidity.code_view(src, parts)
-    decls = [d for d in solidity.declarations(code) if d.kind == "constructor" or re.search(r"\b(public|external)\b", code[d.start : d.header_end])]
-    docs = solidity.attach(decls, solidity.doc_units(src, parts), code)
-    return [(d.kind, d.name, doc is not None) for d, doc in zip(decls, docs)]
+    out = []
+    decls = solidity.declarations(code)
+    for d, doc in zip(decls, solidity.attach(decls, solidity.doc_units(src, parts), code)):
+        h = solidity.header(code, d)
+        if d.kind in ("constructor", "event", "error") or d.kind == "function" and h.visibility in ("public", "external"):
+            out.append((d.kind, "constructor" if d.kind == "constructor" else solidity.signature(d, h), doc is not None))
+    return out
+
+
+def exposed(src: Column) -> Column:
+    """Column of the exposed members of a column of files."""
+
+    @F.arrow_udf("array<struct<kind:string,name:string,documented:boolean>>")
+    def run(col: pa.Array) -> pa.Array:
+        names = ("kind", "name", "documented")
+        return pa.array([[dict(zip(names, m)) for m in exposed_members(x)] for x in col.to_pylist()], pa.list_(pa.struct(list(zip(names, (pa.string(), pa.string(), pa.bool_()))))))
+
+    return run(src)

@@ -10,6 +10,9 @@ import re
 from bisect import bisect_right
 from typing import NamedTuple
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 # one alternative per span that is not code; an unterminated block comment runs to the end of the text
 _SPAN = re.compile(
     r"""//[^\r\n]*
@@ -21,8 +24,9 @@ _SPAN = re.compile(
 _VISIBLE = re.compile(r"[^\s]")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _TAG = re.compile(r"@([A-Za-z][\w:-]*)[ \t]*")
-_DECL = re.compile(r"(?<![\w$.])(function|constructor|fallback|receive|modifier|contract|interface|library)(?![\w$])")
+_DECL = re.compile(r"(?<![\w$.])(function|constructor|fallback|receive|modifier|event|error|contract|interface|library)(?![\w$])")
 _NAME = re.compile(r"\s*([A-Za-z_$][\w$]*)?\s*")
+_ABSTRACT = re.compile(r"\babstract\s+\Z")
 _EDGE = re.compile(r"[{;()]")
 _BRACE = re.compile(r"[{}]")
 
@@ -34,13 +38,14 @@ class Span(NamedTuple):
 
 
 class Decl(NamedTuple):
-    kind: str  # function, constructor, fallback, receive, modifier
+    kind: str  # function, constructor, fallback, receive, modifier, event, error; or contract, interface, library
     name: str
     container: str
     start: int
     header_end: int
     end: int
     has_body: bool
+    container_kind: str = ""
 
 
 class Doc(NamedTuple):
@@ -109,14 +114,14 @@ def _header_end(code: str, at: int) -> tuple[int, bool]:
     return len(code), False
 
 
-def declarations(code: str) -> list[Decl]:
-    """Functions, constructors, fallbacks, receives and modifiers of a code view.
+def declarations(code: str, containers: bool = False) -> list[Decl]:
+    """Functions, constructors, fallbacks, receives, modifiers, events and errors of a code view; with ``containers`` these, too.
 
     Bodies are skipped whole, so assembly functions and function-typed variables inside them declare
     nothing. ``function`` without a name is a type unless a body follows (the unnamed fallback).
     """
     out: list[Decl] = []
-    at, closes = 0, []  # closes: (offset where the container ends, its name)
+    at, closes = 0, []  # closes: (offset where the container ends, its name, its kind)
     while m := _DECL.search(code, at):
         word, start = m.group(1), m.start()
         at = m.end()
@@ -126,17 +131,20 @@ def declarations(code: str) -> list[Decl]:
                 n = _NAME.match(code, at)
                 end, body = _header_end(code, n.end())
                 if n.group(1) and body:
-                    closes.append((_closing(code, end), n.group(1)))
+                    closes.append((_closing(code, end), n.group(1), word))
                     at = end + 1
+                    if containers:
+                        first = _ABSTRACT.search(code, 0, start)
+                        out.append(Decl(word, n.group(1), "", first.start() if first else start, end, closes[-1][0], True))
             continue
         if before not in ("", "{", "}", ";", "﻿"):
             continue
         n = _NAME.match(code, at)
         name = n.group(1) or ""
         opens = code[n.end() : n.end() + 1]
-        if word != "function" and word != "modifier" and (name or opens != "("):
+        if word in ("constructor", "fallback", "receive") and (name or opens != "("):
             continue
-        if word == "function" and opens != "(" or word == "modifier" and (not name or opens not in "({"):
+        if word == "function" and opens != "(" or word == "modifier" and (not name or opens not in "({") or word in ("event", "error") and (not name or opens != "("):
             continue
         end, body = _header_end(code, n.end())
         if word == "function" and not name:
@@ -147,7 +155,8 @@ def declarations(code: str) -> list[Decl]:
         stop = _closing(code, end) if body else min(end + 1, len(code))
         while closes and closes[-1][0] <= start:
             closes.pop()
-        out.append(Decl(word, name or word, closes[-1][1] if closes else "", start, end, stop, body))
+        _, holder, kind = closes[-1] if closes else (0, "", "")
+        out.append(Decl(word, name or word, holder, start, end, stop, body, kind))
         at = stop
     return out
 
@@ -250,3 +259,194 @@ def is_trivial(text: str, name: str) -> bool:
         return True
     said = "".join(words).lower()
     return bool(name) and said in {name.replace("_", "").replace("$", "").lower()}
+
+
+# headers --------------------------------------------------------------------------------------------------
+
+
+class Param(NamedTuple):
+    type: str
+    name: str | None
+
+
+class Header(NamedTuple):
+    params: tuple[Param, ...]
+    returns: tuple[Param, ...]
+    visibility: str | None
+    mutability: str | None
+    is_virtual: bool
+    overrides: bool
+
+
+_PARTS = re.compile(r"[()\[\]{}]|,")
+_TAIL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)$")
+# fixed values: words that end a parameter without naming it; words a signature leaves out
+_NO_NAME = "memory storage calldata payable external internal public private pure view indexed anonymous".split()
+_LOCATION = re.compile(r"\b(?:memory|storage|calldata|payable)\b|\s+")
+
+
+def split_top(text: str) -> list[str]:
+    """The parts of a list between commas that stand in no bracket; blank parts are none."""
+    out, depth, at = [], 0, 0
+    for m in _PARTS.finditer(text):
+        c = m.group()
+        if c == ",":
+            if depth == 0:
+                out.append(text[at : m.start()])
+                at = m.end()
+        else:
+            depth += 1 if c in "([{" else -1
+    return [x.strip() for x in (*out, text[at:]) if x.strip()]
+
+
+def last_group(text: str) -> str:
+    """What the last bracket of a text that stands in no other holds; empty if there is none."""
+    depth, at, got = 0, 0, ""
+    for m in re.finditer(r"[()]", text):
+        if m.group() == "(":
+            at = at if depth else m.end()
+            depth += 1
+        elif depth:
+            depth -= 1
+            got = got if depth else text[at : m.start()]
+    return got
+
+
+def parameter(raw: str) -> Param:
+    """Type and name of one declared parameter; the name is the last word, unless that belongs to the type."""
+    raw = raw.strip()
+    m = _TAIL.search(raw)
+    kind = raw[: m.start()].rstrip() if m else ""
+    if not kind or kind.endswith(".") or m.group() in _NO_NAME:
+        return Param(raw, None)
+    if kind.endswith(")") and not kind.endswith("returns)") and re.search(r"\bmapping\s*\(", kind) and not re.search(r"\b(?:memory|storage|calldata)\b", kind):
+        return Param(raw, None)
+    return Param(kind, m.group())
+
+
+def type_key(p: Param) -> str:
+    """A type as signatures have it: without blanks, location and ``payable``."""
+    return _LOCATION.sub("", p.type)
+
+
+def _group(code: str, at: int, end: int) -> tuple[str, int]:
+    """What the bracket opened at or after ``at`` holds, and the offset after it."""
+    first = code.find("(", at, end)
+    if first < 0:
+        return "", at
+    depth = 0
+    for m in re.finditer(r"[()]", code[first:end]):
+        depth += 1 if m.group() == "(" else -1
+        if not depth:
+            return code[first + 1 : first + m.start()], first + m.end()
+    return code[first + 1 : end], end
+
+
+def header(code: str, d: Decl) -> Header:
+    inner, after = _group(code, d.start, d.header_end)
+    tail = code[after : d.header_end]
+    m = re.search(r"\breturns\b", tail)
+    back = _group(code, after + m.end(), d.header_end)[0] if m else ""
+    word = lambda *options: next((w for w in options if re.search(rf"\b{w}\b", tail)), None)
+    return Header(
+        tuple(map(parameter, split_top(inner))), tuple(map(parameter, split_top(back))), word("external", "public", "internal", "private"), word("pure", "view", "payable"),
+        word("virtual") is not None, word("override") is not None,
+    )
+
+
+def signature(d: Decl, h: Header) -> str:
+    return f"{d.name}({','.join(map(type_key, h.params))})"
+
+
+_DECLARED = "array<struct<kind:string,name:string,container:string,start:int,body:boolean,signature:string,arity_key:string,visibility:string,mutability:string,is_virtual:boolean,overrides:boolean,params:array<string>,returns:array<string>>>"
+
+
+def declared_in(src: str | None) -> list[tuple]:
+    """Declarations of a file with their headers' parts; null and blank texts have none."""
+    if not src:
+        return []
+    code = code_view(src)
+    out = []
+    for d in declarations(code):
+        h = header(code, d)
+        names = [p.name or "" for p in h.params], [p.name or "" for p in h.returns]
+        out.append((d.kind, d.name, d.container, d.start, d.has_body, signature(d, h), f"{d.name}/{len(h.params)}", h.visibility, h.mutability, h.is_virtual, h.overrides, *names))
+    return out
+
+
+def declared(src):
+    """Column of the declarations of a column of files."""
+    text, flag = pa.string(), pa.bool_()
+    kinds = [text, text, text, pa.int32(), flag, text, text, text, text, flag, flag, pa.list_(text), pa.list_(text)]
+    names = re.findall(r"(?:<|,)(\w+):", _DECLARED)
+    kind = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
+
+    @F.arrow_udf(_DECLARED)
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(names, r)) for r in declared_in(x)] for x in col.to_pylist()], kind)
+
+    return run(src)
+
+
+def visible_code(src):
+    """Column of how many characters of a column of files are code, without comments and blanks."""
+    @F.arrow_udf("int")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([len("".join(code_view(x).split())) if x else 0 for x in col.to_pylist()], pa.int32())
+
+    return run(src)
+
+
+_GUARD = re.compile(r"(?<![\w$.])(require|revert|assert)\b")
+
+
+def guards_of(code: str | None) -> list[tuple[str, str, str]]:
+    """(kind, condition, message) of the guards in a function's text, in order; comments and strings hold none.
+
+    The arguments are those of the statement's last bracket; the first is the condition, the last the
+    message. A guard without arguments has its own text as the condition.
+    """
+    if not code:
+        return []
+    view, out = code_view(code), []
+    for m in _GUARD.finditer(view):
+        end = view.find(";", m.start())
+        end = len(view) if end < 0 else end
+        masked = last_group(view[m.start() : end])
+        at = view.rfind(masked, m.start(), end) if masked else m.start()
+        parts, lo = [], at
+        for part in split_top(masked):
+            lo = view.index(part, lo)
+            parts.append(code[lo : lo + len(part)])
+            lo += len(part)
+        out.append((m.group(), parts[0] if parts else code[m.start() : end].strip(), parts[-1].strip('"') if len(parts) > 1 else ""))
+    return out
+
+
+def guards(code):
+    """Column of the guards of a column of functions."""
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("kind", "condition", "message")]))
+
+    @F.arrow_udf("array<struct<kind:string,condition:string,message:string>>")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([[dict(zip(("kind", "condition", "message"), g)) for g in guards_of(x)] for x in col.to_pylist()], kind)
+
+    return run(code)
+
+
+class Offsets:
+    """Byte and character offsets of a text into each other; those beyond the text are its ends, those inside a character its start."""
+
+    def __init__(self, src: str) -> None:
+        self.ends = None
+        if not src.isascii():
+            at, self.ends = 0, [0]
+            for ch in src:
+                at += len(ch.encode("utf-8", "surrogatepass"))
+                self.ends.append(at)
+
+    def to_char(self, byte: int) -> int:
+        return byte if self.ends is None else min(max(bisect_right(self.ends, byte) - 1, 0), len(self.ends) - 1)
+
+    def to_byte(self, char: int) -> int:
+        return char if self.ends is None else self.ends[min(max(char, 0), len(self.ends) - 1)]

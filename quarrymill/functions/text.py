@@ -15,6 +15,9 @@ IDENTIFIER_PIECE = r"([A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z]+|[0-9]+)"
 #: Fixed value: punctuation that the prose tokenizer separates.
 PROSE_PUNCTUATION = r"""([`.,;:!?()\[\]{}"']|--+)"""
 
+#: Suffixes the stemmer strips, tried in this order.
+SUFFIXES = "ization iveness fulness ousness ation ments ingly edly ment ness ions ing ies ed es ly s".split()
+
 
 def norm_prose(c: Column) -> Column:
     """Lower case, runs of blanks as one, none at the ends."""
@@ -42,7 +45,7 @@ def exact_key(c: Column) -> Column:
 
 
 def split_identifier(c: Column) -> Column:
-    """``depositAmount`` -> deposit, amount; a word without pieces is one."""
+    """The words of a name in camel or snake case, in lower case: ``mintFixedTenor`` gives mint, fixed, tenor. A name without pieces is one word."""
     got = F.regexp_extract_all(c, F.lit(IDENTIFIER_PIECE), F.lit(1))
     return F.transform(F.when(F.size(got) > 0, got).otherwise(F.array(c)), F.lower)
 
@@ -56,7 +59,7 @@ def normalize(c: Column, mode: str = "paper") -> Column:
         return F.array_join(F.transform(words, F.lower), " ")
     if mode == "identifiers":
         return F.array_join(F.flatten(F.transform(words, split_identifier)), " ")
-    raise ValueError(f"unknown normalisation {mode!r}")
+    raise ValueError(f"mode must be none, paper or identifiers, not {mode!r}")
 
 
 def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
@@ -79,11 +82,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def stem(c: Column) -> Column:
     """Strips the first fitting suffix that leaves three letters."""
-    # fixed values, tried in this order
-    suffixes = "ization iveness fulness ousness ation ments ingly edly ment ness ions ing ies ed es ly s".split()
     w = F.lower(c)
     out = None
-    for s in suffixes:
+    for s in SUFFIXES:
         fits = w.endswith(s) & (F.length(w) - len(s) >= 3)
         cut_ = F.substring(w, F.lit(1), F.length(w) - len(s))
         out = F.when(fits, cut_) if out is None else out.when(fits, cut_)

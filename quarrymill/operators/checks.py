@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .classify import header_params
+
 
 def _rows(df: DataFrame, check: str, key: Column, detail: Column) -> DataFrame:
     return df.select(F.lit(check).alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
@@ -39,8 +41,8 @@ def bad_offsets(pairs: DataFrame) -> DataFrame:
 
 
 def unknown_params(pairs: DataFrame) -> DataFrame:
-    """Documented parameters that the code does not name."""
-    p = pairs.select("id", "code", F.explode("params").alias("name", "text")).where(~F.contains(F.col("code"), F.col("name")))
+    """Documented parameters that the header does not declare."""
+    p = pairs.select("id", header_params(F.col("code")).alias("names"), F.explode("params").alias("name", "text")).where(~F.array_contains("names", F.col("name")))
     return _rows(p, "params_round_trip", F.col("id"), F.col("name"))
 
 

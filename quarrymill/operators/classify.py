@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_identifier
 
+# What a word is, and how a place for text to be written shows.
 _WORD = "([A-Za-z][A-Za-z0-9_]*)"
 _PLACEHOLDER = r"(?i)\b(TODO|TBD|FIXME|XXX|WIP)\b|\?\?\?"
 

@@ -12,6 +12,30 @@ def clean_split(c: str = "split") -> Column:
     return F.lower(F.trim(c))
 
 
+#: Folders and names of files that are not the project's own.
+VENDORED_FOLDER = r"(?i)(^|/)(node_modules|packages|external|vendor|lib|mocks?|tests?|test|echidna|scripts)(/|$)"
+VENDORED_NAME = r"(^|/)(Mock|Test)[A-Z0-9_]"
+KINDS = "function constructor fallback receive modifier event error".split()
+
+
+def is_vendored(file: Column) -> Column:
+    return file.rlike(VENDORED_FOLDER) | file.rlike(VENDORED_NAME)
+
+
+def is_candidate(kind: str = "kind") -> Column:
+    """Whether a declaration of this kind can be documented."""
+    return F.col(kind).isin(*KINDS)
+
+
+def in_scope(pairs: DataFrame, split: str | None = None, kinds: list[str] | None = None) -> DataFrame:
+    """Pairs of a split (all if None) and of some kinds; an unknown kind is an error."""
+    unknown = sorted(set(kinds or []) - set(KINDS))
+    if unknown:
+        raise ValueError(f"no such kinds: {unknown}")
+    out = pairs if split is None else pairs.where(clean_split() == split)
+    return out.where(F.col("kind").isin(*kinds)) if kinds is not None else out
+
+
 def project_split(df: DataFrame, project: str = "project", shares: tuple[int, int, int] = (80, 10, 10)) -> DataFrame:
     """A split per project by hash, so no project is in two; the same on every run and partitioning."""
     h = F.conv(F.substring(F.sha1(F.col(project)), 1, 8), 16, 10).cast("long") % 100

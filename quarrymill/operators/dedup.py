@@ -14,6 +14,12 @@ def latest(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
     return best.select(key, *(F.col(f"r.{c}").alias(c) for c in (at, *columns)))
 
 
+def newest(df: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
+    """As ``latest``, for columns that have no order, such as maps: of ties any one, whole."""
+    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*columns), at).alias("r"), F.max(at).alias(at))
+    return best.select(key, at, *(F.col(f"r.{c}").alias(c) for c in columns))
+
+
 def keep_first(df: DataFrame, keys: list[Column], order: list[Column], keep: list[str]) -> DataFrame:
     """The first row of each group by ``order``, which must be total; columns ``keep`` of it."""
     names = [f"k{i}" for i in range(len(keys))]

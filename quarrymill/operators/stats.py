@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def paired(scores: DataFrame, baseline: str, config: str = "config", unit: str = "pair_id", score: str = "score") -> DataFrame:
     """(config, unit, x, y): each configuration's score beside the baseline's, on the units both have. Nulls do not pair."""
@@ -33,7 +34,11 @@ def sign_ranks(pairs: DataFrame, config: str = "config") -> DataFrame:
 
 def wilcoxon(pairs: DataFrame, config: str = "config") -> DataFrame:
     """Two-sided signed-rank test by the normal approximation with continuity correction and no tie term in the variance."""
-    erfc = F.udf(lambda z: math.erfc(z / math.sqrt(2)) if z is not None else None, "double")
+
+    @F.arrow_udf("double")
+    def erfc(z: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else math.erfc(x / math.sqrt(2)) for x in z.to_pylist()], pa.float64())
+
     all_ = pairs.select(config).distinct()
     r = all_.join(sign_ranks(pairs, config), config, "left").fillna(0, ["n", "w_plus", "w_minus"])
     mean, sd = F.col("n") * (F.col("n") + 1) / 4, F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24)
@@ -73,38 +78,68 @@ def seed_spread(scores: DataFrame) -> DataFrame:
 def mcnemar(outcomes: DataFrame, config: str = "config") -> DataFrame:
     """Exact two-sided test on discordant outcomes; needs booleans ``x`` and ``y``."""
 
-    @F.udf("double")
-    def tail(b: int, c: int) -> float:
+    def tail_of(b: int, c: int) -> float:
         n, k = b + c, min(b, c)
         if not n:
             return 1.0
         logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
         return min(1.0, 2 * math.fsum(map(math.exp, logs)))
 
+    @F.arrow_udf("double")
+    def tail(b: pa.Array, c: pa.Array) -> pa.Array:
+        return pa.array(list(map(tail_of, b.to_pylist(), c.to_pylist())), pa.float64())
+
     t = outcomes.groupBy(config).agg(F.count_if(F.expr("x and not y")).alias("gained"), F.count_if(F.expr("y and not x")).alias("lost"))
     return t.withColumn("p", tail("gained", "lost"))
 
 
-def paired_bootstrap(pairs: DataFrame, resamples: int = 2000, seed: int = 7, config: str = "config", blocks: int = 64) -> DataFrame:
-    """Mean difference and its 95 % bounds by Poisson resampling.
+def paired_bootstrap(pairs: DataFrame, resamples: int = 2000, seed: int = 7, config: str = "config", unit: str = "pair_id", alpha: float = 0.05) -> DataFrame:
+    """Mean difference per configuration and its bounds by resampling: (config, ``n``, ``diff``, ``low``, ``high``).
 
-    Every row draws its own weight in each resample, so blocks of rows are resampled where they are and
-    only sums of fixed size per block meet; no configuration's rows are gathered in one task.
+    Each resample draws n of the n units with replacement; draw j of resample r takes the unit at place
+    ``md5(seed:r:j) mod n`` in the order of units, so results hang on the data and the seed alone. The bounds
+    are the resampled means at positions alpha / 2 R and (1 - alpha / 2) R. Draws are joined with the units by
+    place and added up per resample, each partly before the shuffle, so no configuration is gathered in a task.
     """
-    d = pairs.select(config, (F.col("x") - F.col("y")).alias("d"), F.pmod(F.xxhash64("pair_id"), F.lit(blocks)).cast("int").alias("block"))
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, key[1]])
-        v = np.sort(pdf["d"].to_numpy(float))
-        s, n = np.zeros(resamples), np.zeros(resamples)
-        for i in range(0, len(v), 500):
-            w = rng.poisson(1.0, (len(v[i : i + 500]), resamples))
-            s += v[i : i + 500] @ w
-            n += w.sum(0)
-        return pd.DataFrame({config: [key[0]], "n": [len(v)], "total": [v.sum()], "sums": [s.tolist()], "counts": [n.tolist()]})
-
-    parts = d.groupBy(config, "block").applyInPandas(draw, f"{config} string, n long, total double, sums array<double>, counts array<double>")
-    cells = parts.select(config, F.posexplode(F.arrays_zip("sums", "counts")).alias("r", "z")).groupBy(config, "r").agg(F.try_divide(F.sum("z.sums"), F.sum("z.counts")).alias("m"))
-    ci = cells.groupBy(config).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    point = parts.groupBy(config).agg((F.sum("total") / F.sum("n")).alias("diff"), F.sum("n").alias("n"))
-    return point.join(ci, config).select(config, "n", "diff", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    d = cut(pairs.select(config, unit, (F.col("x") - F.col("y")).alias("d")))
+    size = d.groupBy(config).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("diff"))
+    placed = cut(_places(d, config, unit))
+    draws = size.select(config, "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r")).select(config, "n", "r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j"))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
+    means = draws.select(config, "r", place.alias("place")).join(placed, [config, "place"]).groupBy(config, "r").agg(F.avg("d").alias("m"))
+    at = means.withColumn("k", F.row_number().over(Window.partitionBy(config).orderBy("m", "r")) - 1)  # as many rows as resamples
+    low, high = int(alpha / 2 * resamples), min(int((1 - alpha / 2) * resamples), resamples - 1)
+    ends = at.groupBy(config).agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))
+    return size.join(ends, config).select(config, "n", "diff", "low", "high")
+
+
+def _places(d: DataFrame, config: str, unit: str) -> DataFrame:
+    """(config, ``place``, ``d``): each unit's place from 0 in the order of units, counted by blocks of the sorted rows instead of one window per configuration."""
+    rows = cut(d.repartitionByRange(config, unit).sortWithinPartitions(config, unit).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    per = rows.groupBy(config, "part").agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(config).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    return rows.join(per.withColumn("before", before), [config, "part"]).select(config, (F.col("before") + F.col("at") - F.col("first")).alias("place"), "d")
+
+
+def significant(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
+    """Tests with ``significant``: the interval excludes 0 and p is below ``alpha``."""
+    return tests.withColumn("significant", ((F.col("low") > 0) | (F.col("high") < 0)) & (F.col(p) < alpha))
+
+
+def within_noise(differences: DataFrame, spread: DataFrame, baseline: str, config: str = "config") -> DataFrame:
+    """Differences with ``within_noise``: no larger than the deviation of the baseline's seeds (of one seed: 0)."""
+    sd = spread.where(F.col(config) == baseline).select(F.col("sd").alias("noise"))
+    return differences.join(F.broadcast(sd), how="cross").withColumn("within_noise", ~(F.abs("diff") > F.col("noise")))  # one row
+
+
+def dominates(spread: DataFrame, diff: float) -> DataFrame:
+    return spread.withColumn("dominates", F.abs(F.lit(diff)) > F.col("sd"))
+
+
+def compare_scopes(narrow: DataFrame, wide: DataFrame, config: str = "config") -> DataFrame:
+    """(config, ``narrow``, ``wide``, ``change``) of two tables of verdicts (``finding``, a boolean): unchanged, lost or gained in the wide scope, or not run in both."""
+    a, b = narrow.select(config, F.col("finding").alias("narrow")), wide.select(config, F.col("finding").alias("wide"))
+    change = (
+        F.when(F.col("narrow").isNull() | F.col("wide").isNull(), "not run in both").when(F.col("narrow") == F.col("wide"), "unchanged").when(F.col("narrow"), "LOST").otherwise("GAINED")
+    )
+    return a.join(b, config, "full").withColumn("change", change)

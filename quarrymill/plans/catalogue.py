@@ -44,6 +44,10 @@ def pairs_(spark, d, *cols):
     return dedup.latest(table(spark, d, "pairs"), "id", "written_at", *cols)
 
 
+def pairs_with_maps(spark, d, *cols):
+    return dedup.newest(table(spark, d, "pairs"), "id", "written_at", *cols)
+
+
 def runs_(spark, d, *cols):
     return runs.valid_runs(table(spark, d, "run_records"), *cols)
 
@@ -124,10 +128,10 @@ def house_style(spark, d):
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM t WHERE len(w) > 1)
-SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 5""")
+SELECT gram, count(*) AS n FROM g GROUP BY gram""")
 def token_bigram_counts(spark, d):
     w = table(spark, d, "documents").where("text is not null").select(text.word_tokens(F.col("text")).alias("w"))
-    return w.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    return w.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH p AS (SELECT id, notice, dev, params, returns FROM {_PAIRS}),
@@ -136,7 +140,7 @@ f AS (SELECT id, 'notice' AS field, notice AS v FROM p UNION ALL SELECT id, 'dev
  UNION ALL SELECT id, 'return:' || (i - 1), trim(concat_ws(' ', returns[i].name, returns[i].text)) FROM (SELECT id, returns, unnest(range(1, len(returns) + 1)) AS i FROM p))
 SELECT id, field, v AS text FROM f WHERE trim(coalesce(v, '')) <> ''""")
 def reference_fields(spark, d):
-    p = pairs_(spark, d, "notice", "dev", "returns").join(table(spark, d, "pairs").select("id", "written_at", "params"), ["id", "written_at"]).dropDuplicates(["id"])
+    p = pairs_with_maps(spark, d, "notice", "dev", "returns", "params")
     return p.select("id", F.explode(corpus.reference_fields()).alias("field", "text"))
 
 
@@ -150,7 +154,7 @@ def verb_agreement(spark, d):
     return p.groupBy("verb").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.rlike("name", F.concat(F.lit("^"), "verb", F.lit("([^a-z]|$)")))).alias("agree"))
 
 
-_STEMS = "ization iveness fulness ousness ation ments ingly edly ment ness ions ing ies ed es ly s".split()
+_STEMS = text.SUFFIXES
 
 
 @query(
@@ -176,18 +180,23 @@ def shingle_jaccard(spark, d):
 
 @query()
 def judge_defects(spark, d):
-    p = pairs_(spark, d, "notice", "dev", "name", "code", "returns").join(table(spark, d, "pairs").select("id", "written_at", "params"), ["id", "written_at"]).dropDuplicates(["id"])
+    p = pairs_with_maps(spark, d, "notice", "dev", "name", "code", "returns", "params")
     j = classify.judge(p).select(F.explode("defects").alias("x"))
     return j.groupBy(F.substring_index("x", ":", 1).alias("defect")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def declarations(spark, d):
-    @F.udf("array<struct<kind:string,name:string,container:string,start:int,body:boolean>>")
-    def decls(src):
-        return [(x.kind, x.name, x.container, x.start, x.has_body) for x in solidity.declarations(solidity.code_view(src))] if src else []
+    f = dedup.latest(table(spark, d, "source_files").where("src is not null"), "file", "fetched_at", "src")
+    return f.select("file", F.explode(solidity.declared(F.col("src"))).alias("x")).select("file", "x.kind", "x.name", "x.container", "x.start", "x.body", "x.signature", "x.arity_key")
+
 
-    return table(spark, d, "source_files").dropDuplicates(["file"]).select("file", F.explode(decls("src")).alias("x")).select("file", "x.*")
+@query(f"""SELECT id, signature, arity_key, nullif(mutability, '') AS mutability, is_virtual, overrides, list_sort(list_filter(list_transform(regexp_split_to_array(regexp_extract(code, '^[^(]*\\(([^()]*)\\)', 1), ','),
+ lambda x: regexp_extract(trim(x), '\\s([A-Za-z_$][\\w$]*)$', 1)), lambda x: x <> '')) AS params FROM {_PAIRS} WHERE kind = 'function'""")
+def parsed_headers(spark, d):
+    """What the declaration parser reads off each function's code; the corpus has the same on record."""
+    x = pairs_(spark, d, "kind", "code").where("kind = 'function'").select("id", solidity.declared(F.col("code"))[0].alias("x"))
+    return x.select("id", "x.signature", "x.arity_key", "x.mutability", "x.is_virtual", "x.overrides", F.array_sort("x.params").alias("params"))
 
 
 # metrics -----------------------------------------------------------------------------------------------
@@ -353,9 +362,17 @@ def mcnemar(spark, d):
     return stats.mcnemar(o).withColumn("p", F.round("p", 6))
 
 
-@query()
+def _bootstrap_sql(resamples: int) -> str:
+    return f"""u AS (SELECT config, x - y AS d, row_number() OVER (PARTITION BY config ORDER BY pair_id) - 1 AS place FROM j), z AS (SELECT config, count(*) AS n, avg(d) AS diff FROM u GROUP BY config),
+w AS (SELECT config, r, CAST('0x' || substr(md5('7:' || r || ':' || i), 1, 8) AS BIGINT) % n AS place FROM (SELECT config, n, r, unnest(range(1, n + 1)) AS i FROM (SELECT config, n, unnest(range(1, {resamples} + 1)) AS r FROM z))),
+m AS (SELECT config, r, avg(d) AS m FROM w JOIN u USING (config, place) GROUP BY ALL), k AS (SELECT config, list_sort(list(m)) AS l FROM m GROUP BY config),
+ci AS (SELECT config, n, diff, l[{int(0.025 * resamples) + 1}] AS low, l[{min(int(0.975 * resamples), resamples - 1) + 1}] AS high FROM z JOIN k USING (config))"""
+
+
+@query(f"WITH {_SCORES}, {_bootstrap_sql(400)} SELECT config, n, round(diff, 6) AS diff, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def bootstrap_interval(spark, d):
-    return stats.paired_bootstrap(_paired(spark, d))
+    b = stats.paired_bootstrap(_paired(spark, d), 400)
+    return b.select("config", "n", *(r6(F.col(c), c) for c in ("diff", "low", "high")))
 
 
 @query(f"SELECT rounds_allowed, rounds_used, count(*) AS n, count(*) FILTER (best_round = 0) AS first_best, count(*) FILTER (gate_verdict = 'PASS') AS passed FROM {_RUNS} WHERE {_OK} GROUP BY ALL")
@@ -388,20 +405,29 @@ def manifest_diff(spark, d):
     return m.join(s, "file", "full").groupBy(F.when(F.col("m").isNull(), "extra").when(F.col("s").isNull(), "missing").otherwise("both").alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH p AS (SELECT * FROM {_PAIRS})
+# The checks run over all deliveries, and some of those are spoilt by a hash of their id: a stated change of the
+# input, so that each check has something to find.
+_SPOILT = """(SELECT id, file, code, code_start, code_end, doc_start, verified, params, CASE WHEN h % 13 = 0 THEN ' ' ELSE notice END AS notice, CASE WHEN h % 13 = 0 THEN NULL ELSE dev END AS dev,
+ CASE WHEN h % 11 = 0 THEN doc_end + 500 ELSE doc_end END AS doc_end, CASE WHEN h % 17 = 0 THEN 'gone_' ELSE '' END AS prefix FROM (SELECT *, CAST('0x' || substr(sha1(id), 1, 6) AS INT) AS h FROM pairs))"""
+
+
+@query(f"""WITH p AS (SELECT * FROM {_SPOILT}), places AS (SELECT DISTINCT id, file, doc_start, doc_end FROM p WHERE doc_start IS NOT NULL)
 SELECT 'verified_have_prose' AS "check", count(*) AS n FROM p WHERE verified AND trim(coalesce(notice, '')) = '' AND trim(coalesce(dev, '')) = '' HAVING count(*) > 0
 UNION ALL SELECT 'offsets_are_ordered', count(*) FROM p WHERE doc_start >= doc_end OR code_start >= code_end OR doc_end > code_start HAVING count(*) > 0
-UNION ALL SELECT 'no_overlapping_docs', count(*) FROM (SELECT doc_start, lag(doc_end) OVER (PARTITION BY file ORDER BY doc_start, doc_end, id) AS b FROM p WHERE doc_start IS NOT NULL) WHERE b > doc_start HAVING count(*) > 0
+UNION ALL SELECT 'no_overlapping_docs', count(*) FROM (SELECT doc_start, lag(doc_end) OVER (PARTITION BY file ORDER BY doc_start, doc_end, id) AS b FROM places) WHERE b > doc_start HAVING count(*) > 0
 UNION ALL SELECT 'unique_places', count(*) FROM (SELECT file, code_start FROM p GROUP BY ALL HAVING count(*) > 1) HAVING count(*) > 0
 UNION ALL SELECT 'units_have_pairs', count(*) FROM (SELECT pair_id FROM retrieval_units WHERE pair_id NOT IN (SELECT id FROM p) GROUP BY pair_id) HAVING count(*) > 0
-UNION ALL SELECT 'runs_have_pairs', count(*) FROM (SELECT pair_id FROM run_records WHERE pair_id NOT IN (SELECT id FROM p) GROUP BY pair_id) HAVING count(*) > 0
-UNION ALL SELECT 'params_round_trip', count(*) FROM (SELECT code, unnest(map_keys(params)) AS k FROM p) WHERE NOT contains(code, k) HAVING count(*) > 0""")
+UNION ALL SELECT 'runs_have_pairs', count(*) FROM (SELECT pair_id FROM run_records WHERE pair_id NOT IN (SELECT id FROM p WHERE prefix = '') GROUP BY pair_id) HAVING count(*) > 0
+UNION ALL SELECT 'params_round_trip', count(*) FROM (SELECT list_transform(regexp_split_to_array(regexp_extract(code, '^[^(]*\\(([^()]*)\\)', 1), ','), lambda x: regexp_extract(trim(x), '\\s([A-Za-z_$][\\w$]*)$', 1)) AS names, unnest(map_keys(params)) AS k, prefix FROM p) WHERE NOT list_contains(names, prefix || k) HAVING count(*) > 0""")
 def violations(spark, d):
-    p = pairs_(spark, d, "verified", "notice", "dev", "doc_start", "doc_end", "code_start", "code_end", "file", "code")
-    withp = p.join(table(spark, d, "pairs").select("id", "written_at", "params"), ["id", "written_at"]).dropDuplicates(["id"])
+    h = F.conv(F.substring(F.sha1("id"), 1, 6), 16, 10).cast("int")
+    p = table(spark, d, "pairs").select(
+        "id", "file", "code", "code_start", "code_end", "doc_start", "verified", F.when(h % 13 == 0, " ").otherwise(F.col("notice")).alias("notice"), F.when(h % 13 != 0, F.col("dev")).alias("dev"),
+        (F.col("doc_end") + F.when(h % 11 == 0, 500).otherwise(0)).alias("doc_end"), F.transform_keys("params", lambda k, _: F.concat(F.when(h % 17 == 0, "gone_").otherwise(""), k)).alias("params"), (h % 17 == 0).alias("odd"),
+    )
     v = checks.violations(
-        checks.verified_without_prose(p), checks.bad_offsets(p), checks.overlapping_docs(p), checks.duplicate_keys(p, "unique_places", "file", "code_start"),
-        checks.dangling(table(spark, d, "retrieval_units"), p, "units_have_pairs", "pair_id", "id"), checks.dangling(table(spark, d, "run_records"), p, "runs_have_pairs", "pair_id", "id"), checks.unknown_params(withp),
+        checks.verified_without_prose(p), checks.bad_offsets(p), checks.overlapping_docs(p.select("id", "file", "doc_start", "doc_end").distinct()), checks.duplicate_keys(p, "unique_places", "file", "code_start"),
+        checks.dangling(table(spark, d, "retrieval_units"), p, "units_have_pairs", "pair_id", "id"), checks.dangling(table(spark, d, "run_records"), p.where(~F.col("odd")), "runs_have_pairs", "pair_id", "id"), checks.unknown_params(p),
     )
     return v.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
 
@@ -421,7 +447,7 @@ def retrieved_recall(spark, d):
 @query(f"""SELECT project, round(avg(CAST(coalesce(trim(views['code']), '') <> '' AS INT)), 6) AS code, round(avg(CAST(coalesce(trim(views['ast']), '') <> '' AS INT)), 6) AS ast,
  round(avg(CAST(coalesce(trim(views['cfg']), '') <> '' AS INT)), 6) AS cfg FROM (SELECT * FROM retrieval_units QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY indexed_at DESC) = 1) GROUP BY project""")
 def view_coverage(spark, d):
-    u = units_(spark, d, "project").join(table(spark, d, "retrieval_units").select("pair_id", "indexed_at", "views"), ["pair_id", "indexed_at"]).dropDuplicates(["pair_id"])
+    u = dedup.newest(table(spark, d, "retrieval_units"), "pair_id", "indexed_at", "project", "views")
     has = lambda v: F.avg((F.coalesce(F.trim(F.col("views")[v]), F.lit("")) != "").cast("int"))
     return u.groupBy("project").agg(*(r6(has(v), v) for v in ("code", "ast", "cfg")))
 

@@ -13,10 +13,15 @@ from .catalogue import _CALLS, _OK, _PAIRS, _RUNS, _UNITS, pairs_, query, r6, ru
 # projections and filters -------------------------------------------------------------------------------
 
 
-@query("SELECT project, count(*) AS files, count(*) FILTER (regexp_matches(file, '(?i)(^|/)(node_modules|lib|libs|vendor|openzeppelin[^/]*)/')) AS vendored FROM (SELECT DISTINCT file, project FROM file_manifest) GROUP BY project")
+@query("""SELECT project, count(*) AS files, count(*) FILTER (regexp_matches(file, '(?i)(^|/)(node_modules|packages|external|vendor|lib|mocks?|tests?|test|echidna|scripts)(/|$)') OR regexp_matches(file, '(^|/)(Mock|Test)[A-Z0-9_]')) AS vendored
+FROM (SELECT file, project FROM file_manifest UNION SELECT regexp_replace(file, '/[^/]*/([^/]*)$', '/' || CASE length(file) % 4 WHEN 0 THEN 'Lib/' WHEN 1 THEN 'mocks/' WHEN 2 THEN 'core/Test_' ELSE 'libs/' END || '\\1'), project FROM file_manifest) GROUP BY project""")
 def vendored_paths(spark, d):
-    m = table(spark, d, "file_manifest").select("file", "project").distinct()
-    return m.groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("file").rlike("(?i)(^|/)(node_modules|lib|libs|vendor|openzeppelin[^/]*)/")).alias("vendored"))
+    """The manifest's files, and the same once more in other folders by the length of their names: a stated addition, so that some are vendored."""
+    m = table(spark, d, "file_manifest").select("file", "project")
+    n = F.length("file") % 4
+    moved = F.regexp_replace("file", F.lit("/[^/]*/([^/]*)$"), F.concat(F.lit("/"), F.when(n == 0, "Lib/").when(n == 1, "mocks/").when(n == 2, "core/Test_").otherwise("libs/"), F.lit("$1")))
+    m = m.union(m.select(moved, "project")).distinct()
+    return m.groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.count_if(corpus.is_vendored(F.col("file"))).alias("vendored"))
 
 
 @query(f"SELECT id, kind, file FROM {_PAIRS} WHERE lower(trim(split)) = 'test' AND kind IN ('function', 'constructor')")
@@ -68,12 +73,8 @@ def shards(spark, d):
 
 @query()
 def stripped_code(spark, d):
-    @F.udf("int")
-    def visible(src):
-        return len("".join(solidity.code_view(src).split())) if src else 0
-
-    f = table(spark, d, "source_files").where("src is not null").dropDuplicates(["file"])
-    return f.select("file", F.length("src").alias("chars"), visible("src").alias("code_chars"))
+    f = dedup.latest(table(spark, d, "source_files").where("src is not null"), "file", "fetched_at", "src")
+    return f.select("file", F.length("src").alias("chars"), solidity.visible_code(F.col("src")).alias("code_chars"))
 
 
 # joins -------------------------------------------------------------------------------------------------
@@ -313,6 +314,6 @@ def json_recovery(spark, d):
 
 @query()
 def exposed_completeness(spark, d):
-    members = F.udf(comments.exposed_members, "array<struct<kind:string,name:string,documented:boolean>>")
-    m = table(spark, d, "source_files").dropDuplicates(["file"]).select("file", F.explode(members("src")).alias("m"))
+    f = dedup.latest(table(spark, d, "source_files").where("src is not null"), "file", "fetched_at", "src")
+    m = f.select("file", F.explode(comments.exposed(F.col("src"))).alias("m"))
     return m.groupBy("file").agg(F.count(F.lit(1)).alias("exposed"), F.count_if("m.documented").alias("documented"))
