@@ -42,18 +42,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(``node``, ``depth``): everything reachable from the seeds along ``src`` -> ``dst``, with the fewest steps.
 
-    One round per step; only the newly reached nodes are joined with the edges, and each round is cut by a
-    checkpoint, so cycles end and lost executors cost one round.
+    The edges are cut once. One round per step: only the newly reached nodes are joined with them, a node is
+    new if no earlier step has it, and each step is kept as it is, so nothing is written twice; cycles end
+    and lost executors cost one round.
     """
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    front = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct())
-    seen = front.withColumn("depth", F.lit(0))
+    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    front = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    seen = front
     for depth in range(1, max_rounds + 1):
-        new = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = cut(new)
+        new = front.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        front = cut(new.withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front.withColumn("depth", F.lit(depth))))
+        seen = seen.unionByName(front)
     raise RuntimeError(f"more than {max_rounds} steps")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics, solidity, text
-from ..operators import checks, classify, corpus, dedup, graph, matching, retrieval, runs, stats
+from ..operators import checks, classify, corpus, dedup, graph, matching, retrieval, runs, stats, tables
 from ..session import table
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,13 +178,6 @@ def shingle_jaccard(spark, d):
     return j.select("id", r6(text.jaccard(F.col("a"), F.col("b")), "score"))
 
 
-@query()
-def judge_defects(spark, d):
-    p = pairs_with_maps(spark, d, "notice", "dev", "name", "code", "returns", "params")
-    j = classify.judge(p).select(F.explode("defects").alias("x"))
-    return j.groupBy(F.substring_index("x", ":", 1).alias("defect")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
 def declarations(spark, d):
     f = dedup.latest(table(spark, d, "source_files").where("src is not null"), "file", "fetched_at", "src")
@@ -204,28 +197,33 @@ def parsed_headers(spark, d):
 _GRAMS = "list_transform(range(1, greatest(len({t}) - {n} + 2, 1)), lambda i: array_to_string({t}[i:i + {n} - 1], ' '))"
 
 
-def _clip_sql(n: int) -> str:
-    c, r = _GRAMS.format(t="c", n=n), _GRAMS.format(t="r", n=n)
-    return f"""g{n} AS (SELECT config, CAST(sum(least(a.k, coalesce(b.k, 0))) AS BIGINT) AS hit, CAST(sum(a.k) AS BIGINT) AS total FROM
- (SELECT config, run_id, g, count(*) AS k FROM (SELECT config, run_id, unnest({c}) AS g FROM t) GROUP BY ALL) a LEFT JOIN
- (SELECT run_id, g, count(*) AS k FROM (SELECT run_id, unnest({r}) AS g FROM t) GROUP BY ALL) b USING (run_id, g) GROUP BY config)"""
+def bleu_sums_sql(rows: str, by: str) -> str:
+    """Sums of corpus BLEU over ``rows`` (columns ``by``, word lists c and r): h1.., t1.., cand, ref, n, empty."""
+    clip = lambda n: f"coalesce(list_sum(list_transform(list_distinct(c{n}), lambda g: least(len(list_filter(c{n}, lambda x: x = g)), len(list_filter(r{n}, lambda x: x = g))))), 0)"
+    grams = ", ".join(f"{_GRAMS.format(t=t, n=n)} AS {t}{n}" for t in "cr" for n in (1, 2, 3, 4))
+    return f"""SELECT {by}, count(*) AS n, CAST(sum(CAST(len(c) = 0 AS INT)) AS BIGINT) AS empty, CAST(sum(len(c)) AS BIGINT) AS cand, CAST(sum(len(r)) AS BIGINT) AS ref, """ + ", ".join(
+        f"CAST(sum(greatest(1, len(c) - {n - 1})) AS BIGINT) AS t{n}, CAST(sum({clip(n)}) AS BIGINT) AS h{n}" for n in (1, 2, 3, 4)
+    ) + f" FROM (SELECT *, {grams} FROM ({rows})) GROUP BY ALL"
 
 
-@query(f"""WITH t AS (SELECT config, run_id, list_filter(regexp_split_to_array(final, '\\s+'), lambda x: x <> '') AS c, list_filter(regexp_split_to_array(draft, '\\s+'), lambda x: x <> '') AS r
- FROM {_RUNS} WHERE {_OK} AND final IS NOT NULL AND draft IS NOT NULL),
-l AS (SELECT config, CAST(sum(len(c)) AS BIGINT) AS cand, CAST(sum(len(r)) AS BIGINT) AS ref FROM t GROUP BY config), {", ".join(map(_clip_sql, (1, 2, 3, 4)))}
-SELECT l.config, cand, ref, """ + ", ".join(f"coalesce(g{n}.hit, 0) AS hit{n}, coalesce(g{n}.total, 0) AS total{n}" for n in (1, 2, 3, 4)) + """,
- round(CASE WHEN least(coalesce(g1.hit, 0), coalesce(g2.hit, 0), coalesce(g3.hit, 0), coalesce(g4.hit, 0)) = 0 THEN 0.0 ELSE exp((ln(g1.hit / g1.total) + ln(g2.hit / g2.total) + ln(g3.hit / g3.total) + ln(g4.hit / g4.total)) / 4)
-   * CASE WHEN cand > ref THEN 1.0 ELSE exp(1 - ref / cand) END END, 6) AS bleu FROM l """ + " ".join(f"LEFT JOIN g{n} ON g{n}.config = l.config" for n in (1, 2, 3, 4)))
+def bleu_sql(weights) -> str:
+    used = [(n + 1, w) for n, w in enumerate(weights) if w]
+    none = " OR ".join(f"h{n} = 0" for n in sorted({1, *(n for n, _ in used)}))
+    logs = " + ".join(f"{w} * (ln(greatest(h{n}, 1)) - ln(t{n}))" for n, w in used)
+    return f"CASE WHEN {none} THEN 0.0 ELSE 100 * exp({logs}) * CASE WHEN cand > ref THEN 1.0 ELSE exp(1 - ref / cand) END END"
+
+
+def split_words(c: str) -> str:
+    return f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')"
+
+
+_FINAL_DRAFT = f"SELECT config, {split_words('final')} AS c, {split_words('draft')} AS r FROM {_RUNS} WHERE {_OK} AND final IS NOT NULL AND trim(draft) <> ''"
+
+
+@query(f"SELECT config, n, empty, {', '.join(f'round({bleu_sql(w)}, 2) AS {k}' for k, w in tables.WEIGHTS.items())} FROM ({bleu_sums_sql(_FINAL_DRAFT, 'config')})")
 def bleu_corpus(spark, d):
-    r = runs_(spark, d, "config", "error", "final", "draft").where(~runs.failed()).where("final is not null and draft is not null")
-    c = r.select("config", metrics.bleu_counts(F.col("final"), F.col("draft")).alias("b"))
-    sums = [F.sum(F.col("b.hit")[i]).alias(f"hit{i + 1}") for i in range(4)] + [F.sum(F.col("b.total")[i]).alias(f"total{i + 1}") for i in range(4)]
-    g = c.groupBy("config").agg(F.sum("b.cand").alias("cand"), F.sum("b.ref").alias("ref"), *sums)
-    logs = sum((F.log(F.col(f"hit{n}") / F.col(f"total{n}")) for n in (1, 2, 3, 4)), F.lit(0.0)) / 4
-    short = F.when(F.col("cand") > F.col("ref"), F.lit(1.0)).otherwise(F.exp(1 - F.col("ref") / F.col("cand")))
-    bleu = F.when(F.least(*(f"hit{n}" for n in (1, 2, 3, 4))) == 0, F.lit(0.0)).otherwise(F.exp(logs) * short)
-    return g.select("config", "cand", "ref", *(x for n in (1, 2, 3, 4) for x in (f"hit{n}", f"total{n}")), r6(bleu, "bleu"))
+    r = runs_(spark, d, "config", "error", "final", "draft").where(~runs.failed()).where("final is not null")
+    return tables.bleu_table(r, ["config"], "final", "draft", tuple(tables.WEIGHTS))
 
 
 @query(f"""WITH t AS (SELECT run_id, config, list_filter(regexp_split_to_array(final, '\\s+'), lambda x: x <> '') AS c, list_filter(regexp_split_to_array(draft, '\\s+'), lambda x: x <> '') AS r
@@ -341,12 +339,6 @@ def signed_ranks(spark, d):
     return stats.sign_ranks(_paired(spark, d))
 
 
-@query()
-def wilcoxon_holm(spark, d):
-    t = stats.holm(stats.wilcoxon(_paired(spark, d)))
-    return t.select("config", "n", r6(F.col("p"), "p"), r6(F.col("adjusted"), "adjusted"), "reject")
-
-
 @query(f"""WITH {_SCORES}, p AS (SELECT config, 1 - abs(avg(x - y)) AS p FROM j GROUP BY config), o AS (SELECT *, least(1, (count(*) OVER () - row_number() OVER (ORDER BY p, config) + 1) * p) AS raw FROM p),
 a AS (SELECT config, p, max(raw) OVER (ORDER BY p, config ROWS UNBOUNDED PRECEDING) AS adj FROM o)
 SELECT config, round(p, 6) AS p, round(adj, 6) AS adjusted, adj <= 0.05 AS reject FROM a""")
@@ -506,12 +498,6 @@ def fused_search(spark, d):
     return fused.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
 
 
-@query()
-def match_units(spark, d):
-    q = units_(spark, d, "code").select(F.col("pair_id").alias("id"), "code")
-    return matching.match(q, pairs_(spark, d, "code").select("id", "code"))
-
-
 @query(f"""WITH k AS (SELECT sha1(regexp_replace(code, '\\s+', '', 'g')) AS e, min(id) AS target_id, count(*) AS candidates FROM {_PAIRS} WHERE code IS NOT NULL GROUP BY 1)
 SELECT u.pair_id AS query_id, target_id, candidates FROM {_UNITS} u JOIN k ON k.e = sha1(regexp_replace(u.code, '\\s+', '', 'g'))""")
 def match_exact(spark, d):

@@ -87,12 +87,6 @@ def composite_key_join(spark, d):
     return runs_(spark, d, "pair_id", "file", "signature").join(m, ["file", "signature"]).select("run_id", "id", (F.col("id") == F.col("pair_id")).alias("same"))
 
 
-@query(f"""WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(notice), '\\s+', ' ', 'g')) AS k FROM {_PAIRS} WHERE lower(trim(split)) = 'train')
-SELECT run_id, config FROM {_RUNS} WHERE {_OK} AND trim(regexp_replace(lower(regexp_replace(regexp_extract(final, '@notice([^@]*)', 1), '[/*]', ' ', 'g')), '\\s+', ' ', 'g')) IN (SELECT k FROM t WHERE k <> '')""")
-def seen_in_training(spark, d):
-    t = pairs_(spark, d, "split", "notice").where(corpus.clean_split() == "train").select(text.norm_prose(F.col("notice")).alias("k")).where("k <> ''").distinct()
-    said = text.norm_prose(F.regexp_replace(F.regexp_extract("final", "@notice([^@]*)", 1), "[/*]", " "))
-    return runs_(spark, d, "config", "error", "final").where(~runs.failed()).withColumn("k", said).join(t, "k", "left_semi").select("run_id", "config")
 
 
 @query(f"""WITH p AS (SELECT id, container, signature, arity_key, inheritdoc FROM {_PAIRS}), x AS (SELECT container, signature, min(id) AS id FROM p WHERE inheritdoc IS NULL GROUP BY ALL)
@@ -104,12 +98,6 @@ def inherit_resolution(spark, d):
     return q.join(x, ["container", "signature"], "left").select("id", "target")
 
 
-@query(f"""WITH c AS (SELECT run_id, count(*) AS n FROM {_CALLS} GROUP BY run_id)
-SELECT r.run_id, CAST(r.calls['total'] AS INT) AS stated, coalesce(c.n, 0) AS there FROM {_RUNS} r LEFT JOIN c USING (run_id) WHERE coalesce(r.calls['total'], 0) <> coalesce(c.n, 0)""")
-def call_count_mismatch(spark, d):
-    c = dedup.latest(table(spark, d, "model_calls"), "call_id", "loaded_at", "run_id").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    r = table(spark, d, "run_records").select("run_id", F.col("calls")["total"].alias("stated")).dropDuplicates(["run_id"]).join(c, "run_id", "left")
-    return r.where("coalesce(stated, 0) <> coalesce(n, 0)").select("run_id", "stated", F.coalesce("n", F.lit(0)).alias("there"))
 
 
 @query(f"""WITH b AS (SELECT project, lower(trim(split)) AS s FROM {_PAIRS} WHERE lower(trim(split)) IN ('train', 'val', 'test'))
@@ -165,26 +153,6 @@ def running_totals(spark, d):
     return g.withColumn("running", F.sum("n").over(Window.partitionBy("config").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-@query(f"""SELECT config, round(avg(coalesce(support_rate, 0)), 6) AS metric, count(*) FILTER (support_rate IS NULL) AS fallbacks FROM {_RUNS} GROUP BY config""")
-def fallback_metric(spark, d):
-    r = runs_(spark, d, "config", "support_rate")
-    return r.groupBy("config").agg(r6(F.avg(F.coalesce("support_rate", F.lit(0.0))), "metric"), F.count_if(F.col("support_rate").isNull()).alias("fallbacks"))
-
-
-def _ladder_sql() -> str:
-    steps = [("all", "true"), ("no_errors", _OK), ("no_failures", f"{_OK} AND coalesce(gate_verdict, '') <> 'FAIL'"), ("with_text", f"{_OK} AND coalesce(gate_verdict, '') <> 'FAIL' AND trim(coalesce(final, '')) <> ''")]
-    return " UNION ALL ".join(f"SELECT '{k}' AS step, count(*) AS n, round(avg(support_rate), 6) AS support FROM {_RUNS} WHERE {w}" for k, w in steps)
-
-
-@query(_ladder_sql())
-def subset_ladder(spark, d):
-    r = runs_(spark, d, "error", "gate_verdict", "final", "support_rate")
-    verdict, body = F.coalesce("gate_verdict", F.lit("")) != "FAIL", F.trim(F.coalesce("final", F.lit(""))) != ""
-    steps = {"all": F.lit(True), "no_errors": ~runs.failed(), "no_failures": ~runs.failed() & verdict, "with_text": ~runs.failed() & verdict & body}
-    flat = r.select("support_rate", F.explode(F.array(*(F.when(c, F.lit(k)) for k, c in steps.items()))).alias("step")).where("step is not null")
-    return flat.groupBy("step").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("support_rate"), "support"))
-
-
 @query(f"""WITH s AS (SELECT a.x AS seed, p.signature, CAST('0x' || substr(sha1(p.id || ':' || a.x), 1, 8) AS BIGINT) < 3435973836 AS train FROM {_PAIRS} p, (SELECT unnest(range(1, 6)) AS x) a),
 k AS (SELECT DISTINCT seed, signature FROM s WHERE train), e AS (SELECT s.seed, count(*) AS n, count(k.signature) AS known FROM s LEFT JOIN k ON s.seed = k.seed AND s.signature = k.signature WHERE NOT train GROUP BY s.seed)
 SELECT round(avg(known / n), 6) AS mean, round(stddev_pop(known / n), 6) AS sd, round(min(known / n), 6) AS least, round(max(known / n), 6) AS most FROM e""")
@@ -197,16 +165,6 @@ def split_effect(spark, d):
     return e.agg(r6(F.avg("r"), "mean"), r6(F.stddev_pop("r"), "sd"), r6(F.min("r"), "least"), r6(F.max("r"), "most"))
 
 
-@query()
-def seen_unseen_bleu(spark, d):
-    t = pairs_(spark, d, "split", "notice").where(corpus.clean_split() == "train").select(text.norm_prose(F.col("notice")).alias("k")).where("k <> ''").distinct().withColumn("seen", F.lit(True))
-    p = pairs_(spark, d, "notice").select(F.col("id").alias("pair_id"), "notice").where("trim(notice) <> ''")
-    r = runs_(spark, d, "pair_id", "config", "error", "final").where(~runs.failed()).join(p, "pair_id").withColumn("k", text.norm_prose(F.col("notice"))).join(t, "k", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    b = r.select("config", "seen", metrics.bleu_counts(F.col("final"), F.col("notice")).alias("b"))
-    g = b.groupingSets([["config", "seen"], ["config"]], "config", "seen").agg(F.grouping("seen").cast("int").alias("g"), F.count(F.lit(1)).alias("n"), *(F.sum(F.col("b.hit")[i]).alias(f"h{i}") for i in range(4)), *(F.greatest(F.lit(1), F.sum(F.col("b.total")[i])).alias(f"t{i}") for i in range(4)), F.sum("b.cand").alias("c"), F.sum("b.ref").alias("r"))
-    logs = sum((F.log(F.greatest(F.lit(1e-300), F.col(f"h{i}") / F.col(f"t{i}"))) for i in range(4)), F.lit(0.0)) / 4
-    score = F.when(F.least("h0", "h1", "h2", "h3") == 0, F.lit(0.0)).otherwise(F.exp(logs) * F.when(F.col("c") > F.col("r"), 1.0).otherwise(F.exp(1 - F.try_divide("r", "c"))))
-    return g.select("config", F.when(F.col("g") == 1, "all").when(F.col("seen"), "seen").otherwise("unseen").alias("slice"), "n", r6(100 * score, "bleu"))
 
 
 @query()
@@ -220,12 +178,6 @@ def field_means(spark, d):
     return per.groupBy("config", "kind").agg(r6(F.avg("m"), "mean"), F.sum("k").alias("fields"))
 
 
-@query()
-def ablation_table(spark, d):
-    p = stats.paired(runs.per_config_means(runs_(spark, d, "config", "seed", "pair_id", "error", "support_rate")), "full")
-    tests = stats.holm(stats.wilcoxon(p)).select("config", "p", "adjusted", "reject")
-    ci = stats.paired_bootstrap(p)
-    return ci.join(tests, "config").join(stats.cliffs_delta(p).select("config", "delta", "magnitude"), "config")
 
 
 # samples, top-k, tables beside the corpus --------------------------------------------------------------

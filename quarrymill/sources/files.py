@@ -43,9 +43,13 @@ def aligned_lines(spark: SparkSession, paths: dict[str, str], strict: bool = Tru
 
 
 def longest_prefix(specs: DataFrame, trees: DataFrame) -> DataFrame:
-    """For each import ``spec`` the tree (``prefix``, ``tree``, ``priority``) with the longest matching prefix, then the least priority."""
-    from pyspark.sql import Window
-
-    hit = specs.join(F.broadcast(trees.limit(10_000)), F.expr("spec like concat(prefix, '%')"), "left")
-    w = Window.partitionBy("spec").orderBy(F.desc(F.length("prefix")), "priority", "tree")
-    return hit.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    """For each import ``spec`` the tree (``prefix``, ``tree``, ``priority``) with the longest matching prefix, then the least priority, then the least name.
+
+    Every beginning of a spec is joined with the prefixes by equality, so characters mean themselves and any
+    number of trees will do. A spec that no tree fits has nulls.
+    """
+    s = specs.select("spec").distinct()
+    begin = F.transform(F.sequence(F.lit(0), F.length("spec")), lambda n: F.substring(F.col("spec"), F.lit(1), n))
+    hit = s.where("spec is not null").select("spec", F.explode(begin).alias("prefix")).join(trees.select("prefix", "tree", "priority"), "prefix")
+    best = hit.groupBy("spec").agg(F.min(F.struct((-F.length("prefix")).alias("n"), "priority", "tree", "prefix")).alias("b"))
+    return specs.join(best.select("spec", "b.prefix", "b.tree", "b.priority"), "spec", "left")

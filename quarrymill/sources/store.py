@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 from datetime import UTC, datetime
 
@@ -75,11 +74,3 @@ def call_key(*parts: Column) -> Column:
 def tree_digest(files: DataFrame) -> DataFrame:
     """One digest over sorted paths and contents (``file``, ``sha1``)."""
     return files.agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "sha1"))), lambda r: F.concat_ws(" ", r["file"], r["sha1"])), "\n")).alias("digest"))
-
-
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a Markdown table; null is a dash."""
-    rows = df.limit(limit).collect()
-    cell = lambda v: "—" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v).replace("|", r"\|")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return os.linesep.join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
