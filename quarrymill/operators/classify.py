@@ -61,7 +61,7 @@ def leading_verb(text: Column) -> Column:
 
 def names_function(text: Column, name: Column) -> Column:
     """Whether the comment opens with the verb its function's name opens with."""
-    return leading_verb(text) == split_identifier(name)[0]
+    return leading_verb(text) == F.get(split_identifier(name), 0)
 
 
 def house_style(df: DataFrame, text: str, by: str) -> DataFrame:

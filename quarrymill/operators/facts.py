@@ -81,7 +81,7 @@ def interaction_order() -> Column:
     def late(p):
         first = F.array_min(F.filter(F.transform(p["nodes"], lambda n, i: F.when(F.array_contains(outer, n), i)), lambda i: i.isNotNull()))
         after = F.filter(p["nodes"], lambda n, i: (i > first) & F.array_contains(writing, n) & ~F.array_contains(outer, n))
-        return F.when(F.size(after) > 0, F.concat(F.lit("writes state at "), after[0], F.lit(" after an external call on path "), p["id"]))
+        return F.when(F.size(after) > 0, F.concat(F.lit("writes state at "), F.get(after, 0), F.lit(" after an external call on path "), p["id"]))
 
     found = F.array_compact(F.transform("paths", late))
     return (
@@ -92,10 +92,10 @@ def interaction_order() -> Column:
 
 def cfg_view() -> Column:
     """Node types along the paths with the labels of their edges, or those of all nodes if there is no path; then calls and guards by kind."""
-    kind_of = lambda n: F.coalesce(F.filter("nodes", lambda x: x["id"] == n)[0]["type"], F.lit("?"))
+    kind_of = lambda n: F.coalesce(F.get(F.filter("nodes", lambda x: x["id"] == n), 0)["type"], F.lit("?"))
 
     def step(p, n, i):
-        label = F.element_at(F.filter("edges", lambda e: (e["from"] == n) & (e["to"] == F.try_element_at(p["nodes"], i + 2))), -1)["label"]
+        label = F.try_element_at(F.filter("edges", lambda e: (e["from"] == n) & (e["to"] == F.try_element_at(p["nodes"], i + 2))), F.lit(-1))["label"]
         more = F.when((i + 1 < F.size(p["nodes"])) & (F.coalesce(label, F.lit("")) != ""), F.array(F.concat(F.lit("["), label, F.lit("]"))))
         return F.concat(F.array(kind_of(n)), F.coalesce(more, _none()))
 

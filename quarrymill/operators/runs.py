@@ -75,3 +75,42 @@ def progress(runs: DataFrame) -> DataFrame:
 def exploded_claims(runs: DataFrame) -> DataFrame:
     """A row per claim, and how many facts back it."""
     return runs.select("run_id", F.posexplode("final_claims").alias("at", "c")).select("run_id", "at", F.col("c.text").alias("text"), F.size("c.ids").alias("facts"))
+
+
+def marker(comment: Column) -> Column:
+    """With which mark a comment opens."""
+    t = F.ltrim(F.coalesce(comment, F.lit("")))
+    return F.when(t.startswith("/**"), "/**").when(t.startswith("///"), "///").when(t.startswith("//"), "//").otherwise("bare or empty")
+
+
+def extra_fields(got: Column, wanted: Column) -> Column:
+    """Keys of a map of fields that another lacks, sorted."""
+    keys = lambda m: F.map_keys(F.coalesce(m, F.create_map().cast("map<string,string>")))
+    return F.array_sort(F.array_except(keys(got), keys(wanted)))
+
+
+def view(fields: Column, target: str) -> Column:
+    """The fields of a view: whole, notice, dev, param or return."""
+    if target == "whole":
+        return fields
+    if target not in ("notice", "dev", "param", "return"):
+        raise ValueError(f"view must be whole, notice, dev, param or return, not {target!r}")
+    return F.map_filter(fields, lambda k, _: F.substring_index(k, ":", 1) == target)
+
+
+def pace(runs: DataFrame, target: int, now: Column) -> DataFrame:
+    """``done``, ``errors``, records an hour since the first, and hours left to ``target``; null where nothing can be told."""
+    g = runs.agg(F.count(F.lit(1)).alias("done"), F.count_if(failed()).alias("errors"), F.min("finished_at").alias("first"))
+    hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / 3.6e9
+    g = g.withColumn("per_hour", F.try_divide(F.col("done"), F.nullif(hours, F.lit(0.0))))
+    return g.withColumn("hours_left", F.try_divide(F.greatest(F.lit(0), F.lit(target) - F.col("done")), F.col("per_hour"))).drop("first")
+
+
+def by_seed(runs: DataFrame) -> DataFrame:
+    """One row per seed and pair of runs without error; of several the last finished."""
+    return runs.where(~failed()).groupBy("seed", "pair_id").agg(F.max(F.struct("finished_at", "run_id", "final", "support_rate")).alias("r")).select("seed", "pair_id", "r.*")
+
+
+def both_trees(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of two run trees, which need not have the same columns."""
+    return first.withColumn("tree", F.lit(1)).unionByName(second.withColumn("tree", F.lit(2)), allowMissingColumns=True)

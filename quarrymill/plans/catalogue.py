@@ -188,7 +188,7 @@ def declarations(spark, d):
  lambda x: regexp_extract(trim(x), '\\s([A-Za-z_$][\\w$]*)$', 1)), lambda x: x <> '')) AS params FROM {_PAIRS} WHERE kind = 'function'""")
 def parsed_headers(spark, d):
     """What the declaration parser reads off each function's code; the corpus has the same on record."""
-    x = pairs_(spark, d, "kind", "code").where("kind = 'function'").select("id", solidity.declared(F.col("code"))[0].alias("x"))
+    x = pairs_(spark, d, "kind", "code").where("kind = 'function'").select("id", F.get(solidity.declared(F.col("code")), 0).alias("x"))
     return x.select("id", "x.signature", "x.arity_key", "x.mutability", "x.is_virtual", "x.overrides", F.array_sort("x.params").alias("params"))
 
 
