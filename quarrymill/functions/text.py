@@ -89,3 +89,22 @@ def stem(c: Column) -> Column:
         cut_ = F.substring(w, F.lit(1), F.length(w) - len(s))
         out = F.when(fits, cut_) if out is None else out.when(fits, cut_)
     return out.otherwise(w)
+
+
+def echo_words(name: Column) -> Column:
+    """A name's words as the judge of comments takes them: split before a capital that follows a small letter or digit, and at underscores."""
+    spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "_", " ")
+    return F.transform(F.regexp_extract_all(spaced, F.lit("([A-Za-z][A-Za-z0-9_]*)"), F.lit(1)), lambda w: F.lower(w))
+
+
+def same_tokens(a: Column, b: Column) -> Column:
+    """Whether two texts have the same words in the same order; null counts as empty."""
+    words = lambda c: word_tokens(F.coalesce(c, F.lit("")))
+    return words(a) == words(b)
+
+
+def detokenise(c: Column) -> Column:
+    """Code whose tokens stand apart, closed up: no blank before or after what needs none."""
+    closed = F.regexp_replace(F.trim(c), r"\s*([.(\[])\s*", "$1")
+    closed = F.regexp_replace(closed, r"\s+([)\],;])", "$1")
+    return F.regexp_replace(closed, r"\s+", " ")

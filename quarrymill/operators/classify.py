@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import split_identifier
@@ -65,10 +65,30 @@ def names_function(text: Column, name: Column) -> Column:
 
 
 def house_style(df: DataFrame, text: str, by: str) -> DataFrame:
-    """Per group: share of texts with a stop, a capital, a code mark; mean and quantiles of length in words."""
+    """Per group of texts that are not blank: how long they are and how they begin, end and mark code, as shares."""
     t = F.trim(text)
     n = F.size(F.split(t, r"\s+"))
+    share = lambda c, name: F.avg(c.cast("int")).alias(name)
+    sentences = F.size(F.filter(F.split(t, r"[.!?](?=\s|$)"), lambda s: F.trim(s) != ""))
     return df.where(F.col(text).isNotNull() & (t != "")).groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(t.endswith(".").cast("int")).alias("stop_rate"), F.avg(t.rlike("^[A-Z]").cast("int")).alias("capital_rate"),
-        F.avg(F.contains(t, F.lit("`")).cast("int")).alias("code_rate"), F.avg(n).alias("mean_words"), F.percentile(n, 0.5).alias("median_words"),
+        F.count(F.lit(1)).alias("n"), share(t.endswith("."), "stop_rate"), share(t.rlike("^[A-Z]"), "capital_rate"), share(F.contains(t, F.lit("`")), "code_rate"), F.avg(n).alias("mean_words"),
+        F.percentile(n, 0.5).alias("median_words"), share(sentences <= 1, "one_sentence"), share(t.rlike("(?i)^the "), "starts_the"), share(t.rlike("(?i)^this (function|method)"), "starts_this"), share(t.rlike(r"^[A-Z][a-z]+s\b"), "third_person"),
     )
+
+
+def first_words(df: DataFrame, text: str, by: str, n: int = 10) -> DataFrame:
+    """Per group the ``n`` first words that occur most (``word``, ``k``, ``place``), ties by the lesser word: a report."""
+    w = F.regexp_extract(F.col(text), "([A-Za-z]+)", 1)
+    k = df.select(by, w.alias("word")).where("word <> ''").groupBy(by, "word").agg(F.count(F.lit(1)).alias("k"))
+    return k.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("k"), "word"))).where(F.col("place") <= n)
+
+
+def style_rules(shapes: DataFrame, by: str) -> DataFrame:
+    """(group, ``rule``): a house style (see ``house_style``) as a sentence per group."""
+    pct = lambda c: F.concat(F.format_number(100 * F.col(c), 0), F.lit(" %"))
+    rule = F.concat(
+        F.lit("about "), F.format_number("median_words", 0), F.lit(" words"), F.when(F.col("one_sentence") > 0.5, F.concat(F.lit(", one sentence ("), pct("one_sentence"), F.lit(")"))).otherwise(""),
+        F.when(F.col("third_person") > 0.5, ", opening on a verb in the third person").otherwise(""), F.when(F.col("starts_the") > 0.4, ", opening on The").otherwise(""),
+        F.when(F.col("stop_rate") > 0.5, ", with a full stop").otherwise(", without a full stop"), F.when(F.col("code_rate") > 0.25, ", names in backticks").otherwise(", names without backticks"),
+    )
+    return shapes.select(by, rule.alias("rule"))

@@ -6,8 +6,11 @@ the row with higher-order functions, so no family is exploded or shuffled.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +109,61 @@ def cfg_view() -> Column:
     return F.array_join(F.concat(*(F.coalesce(x, _none()) for x in (start, *ends))), " ")
 
 
+def evidence(max_nodes: int = 40, max_paths: int = 6) -> Column:
+    """A table as lines that may be cited, family by family. Longer lists of nodes and paths are cut, and the text says so."""
+    pad = lambda c, n: F.concat(c, F.repeat(F.lit(" "), F.greatest(F.lit(0), n - F.length(c))))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = lambda name, f: F.coalesce(F.transform(name, f), _none())
+    note = lambda name, most, what: F.when(F.coalesce(F.size(name), F.lit(0)) > most, F.array(F.concat(F.lit(".... "), (F.size(name) - most).cast("string"), F.lit(f" more {what} left out")))).otherwise(_none())
+    said = lambda r: F.when(text(r["message"]) != "", F.concat(F.lit("   message: '"), r["message"], F.lit("'"))).otherwise("")
+    writes = lambda n: F.when(F.size(n["state_writes"]) > 0, F.concat(F.lit("    [writes state: "), F.array_join(n["state_writes"], ", "), F.lit("]"))).otherwise("")
+    at = lambda r: F.concat(F.lit("   at "), text(r["node"]))
+    sections = {
+        "FACTS": rows("facts", lambda r: F.concat_ws(" ", pad(r["id"], 4), pad(r["kind"], 18), text(r["text"]))),
+        "REVERTS": rows("reverts", lambda r: F.concat(F.concat_ws(" ", pad(r["id"], 4), pad(r["kind"], 8), text(r["condition"])), said(r), at(r))),
+        "EVENTS": rows("events", lambda r: F.concat(pad(r["id"], 4), F.lit(" "), text(r["event"]), F.lit("("), F.array_join(F.coalesce(r["args"], _none()), ", "), F.lit(")"), at(r))),
+        "CFG": F.concat(
+            F.slice(rows("nodes", lambda n: F.concat(pad(n["id"], 4), F.lit(" "), pad(n["type"], 12), writes(n))), 1, max_nodes), note("nodes", max_nodes, "nodes"),
+            F.slice(rows("paths", lambda p: F.concat(pad(p["id"], 4), F.lit(" "), F.array_join(p["nodes"], " -> "))), 1, max_paths), note("paths", max_paths, "paths"),
+        ),
+        "CALLS": rows("calls", lambda r: F.concat(F.concat_ws(" ", pad(r["id"], 4), pad(r["kind"], 10), text(r["target"])), at(r))),
+        "DEPS": rows("deps", lambda r: F.concat(pad(r["id"], 4), F.lit(" "), r["variable"], F.lit(" <- "), F.array_join(r["depends_on"], ", "))),
+    }
+    parts = [F.when(F.size(lines) > 0, F.concat(F.lit(f"[{title}]\n  "), F.array_join(lines, "\n  "))) for title, lines in sections.items()]
+    return F.when(F.size(F.array_compact(F.array(*parts))) > 0, F.array_join(F.array_compact(F.array(*parts)), "\n\n")).otherwise("(no facts on this function)")
+
+
+def ast_types(node: str | None, cap: int = 400) -> list[str]:
+    """Types of the nodes of a syntax tree (JSON), parents before children, children by where they start; a documentation node is left out with all below it. At most ``cap``."""
+    out: list[str] = []
+    todo = [json.loads(node)] if node else []
+    start = lambda n: int(str(n.get("src", "0")).split(":")[0] or 0)
+    while todo and len(out) < cap:
+        n = todo.pop()
+        if n.get("nodeType") == "StructuredDocumentation":
+            continue
+        if isinstance(n.get("nodeType"), str):
+            out.append(n["nodeType"])
+        flat = [y for x in n.values() for y in (x if isinstance(x, list) else [x]) if isinstance(y, dict) and "nodeType" in y]
+        todo += sorted(flat, key=start)[::-1]
+    return out
+
+
+def ast_view(tree: Column) -> Column:
+    """Column of the view of a column of syntax trees; null and broken trees have an empty one."""
+    def of(t: str | None) -> str:
+        try:
+            return " ".join(ast_types(t))
+        except ValueError:
+            return ""
+
+    @F.arrow_udf("string")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([of(x) for x in col.to_pylist()], pa.string())
+
+    return run(tree)
+
+
 def join_pairs(tables: DataFrame, pairs: DataFrame) -> DataFrame:
     """Tables with the ``id`` of the pair that starts where they do (null if none does); ``pairs`` has one row per place."""
     place = pairs.groupBy("file", F.col("code_start").alias("char_start")).agg(F.min("id").alias("id"))

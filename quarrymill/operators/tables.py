@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
@@ -73,6 +73,44 @@ def shape_ratio(generated: DataFrame, gold: DataFrame, by: str, median: str = "m
     return generated.select(by, F.col(median).alias("run")).join(g, by).withColumn("ratio", F.col("run") / F.greatest("gold", F.lit(1)))
 
 
+def picked(scores: DataFrame, how: str, n: int, unit: str = "pair_id", score: str = "score") -> DataFrame:
+    """``n`` units for a report: best, worst, or spread, every step-th from the best on. ``gap`` takes ``score`` as the distance between systems.
+
+    Ties go to the greater unit. Only the rows that are shown are ranked.
+    """
+    order = [F.desc(score), F.desc(unit)]
+    if how in ("best", "gap"):
+        return scores.orderBy(*order).limit(n)
+    if how == "worst":
+        return scores.orderBy(F.asc(score), F.asc(unit)).limit(n)
+    if how != "spread":
+        raise ValueError(f"how must be best, worst, gap or spread, not {how!r}")
+    step = max(1, scores.count() // max(n, 1))
+    upto = scores.orderBy(*order).limit(step * n)
+    return upto.withColumn("rn", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("rn") % step == 0).drop("rn")
+
+
+def gaps(scores: DataFrame, unit: str = "pair_id", score: str = "score") -> DataFrame:
+    """Per unit the distance between the best and the worst system, 0 of one system."""
+    return scores.groupBy(unit).agg((F.max(score) - F.min(score)).alias(score))
+
+
+def plain_comment(comment: Column) -> Column:
+    """A comment as lines without marks and without empty ones; ``(empty)`` if nothing is left."""
+    lines = F.transform(F.split(F.coalesce(comment, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(/\*\*|\*/|///|\*)", "")))
+    kept = F.filter(lines, lambda x: ~x.isin("", "/"))
+    return F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise("(empty)")
+
+
+def gold_comment() -> Column:
+    """A pair's own comment as lines of tags, from ``notice``, ``dev``, ``params`` and ``returns``."""
+    tag = lambda name, c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"@{name} "), F.trim(c)))
+    ps = F.transform(F.array_sort(F.map_entries(F.coalesce("params", F.create_map().cast("map<string,string>")))), lambda e: F.concat(F.lit("@param "), e["key"], F.lit(" "), F.coalesce(e["value"], F.lit(""))))
+    rs = F.transform(F.coalesce("returns", F.array().cast("array<struct<name:string,text:string>>")), lambda r: F.concat(F.lit("@return "), F.trim(F.concat_ws(" ", r["name"], r["text"]))))
+    lines = F.concat(F.array_compact(F.array(tag("notice", F.col("notice")), tag("dev", F.col("dev")))), ps, rs)
+    return F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("(no gold comment)")
+
+
 # baselines -------------------------------------------------------------------------------------------------------
 
 

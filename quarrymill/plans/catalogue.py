@@ -118,12 +118,20 @@ def length_profile(spark, d):
     return p.select("kind", "n", r6(F.col("mean"), "mean"), "p10", "p90")
 
 
-@query(f"""SELECT project, count(*) AS n, round(avg(CAST(ends_with(trim(notice), '.') AS INT)), 6) AS stop_rate, round(avg(CAST(regexp_matches(trim(notice), '^[A-Z]') AS INT)), 6) AS capital_rate,
-  round(avg(CAST(contains(notice, '`') AS INT)), 6) AS code_rate, round(avg(len(regexp_split_to_array(trim(notice), '\\s+'))), 6) AS mean_words,
-  CAST(median(len(regexp_split_to_array(trim(notice), '\\s+'))) AS DOUBLE) AS median_words FROM {_PAIRS} WHERE trim(notice) <> '' GROUP BY project""")
+@query(f"""SELECT project, count(*) AS n, round(avg(CAST(ends_with(t, '.') AS INT)), 6) AS stop_rate, round(avg(CAST(regexp_matches(t, '^[A-Z]') AS INT)), 6) AS capital_rate,
+  round(avg(CAST(contains(t, '`') AS INT)), 6) AS code_rate, round(avg(len(regexp_split_to_array(t, '\\s+'))), 6) AS mean_words,
+  CAST(median(len(regexp_split_to_array(t, '\\s+'))) AS DOUBLE) AS median_words, round(avg(CAST(len(list_filter(regexp_split_to_array(t || ' ', '[.!?]\\s'), lambda s: trim(s) <> '')) <= 1 AS INT)), 6) AS one_sentence,
+  round(avg(CAST(regexp_matches(t, '(?i)^the ') AS INT)), 6) AS starts_the, round(avg(CAST(regexp_matches(t, '(?i)^this (function|method)') AS INT)), 6) AS starts_this, round(avg(CAST(regexp_matches(t, '^[A-Z][a-z]+s\\b') AS INT)), 6) AS third_person
+  FROM (SELECT project, trim(notice) AS t FROM {_PAIRS}) WHERE t <> '' GROUP BY project""")
 def house_style(spark, d):
     s = classify.house_style(pairs_(spark, d, "project", "notice"), "notice", "project")
-    return s.select("project", "n", *(r6(F.col(c), c) for c in ("stop_rate", "capital_rate", "code_rate", "mean_words")), "median_words")
+    return s.select("project", "n", "median_words", *(r6(F.col(c), c) for c in ("stop_rate", "capital_rate", "code_rate", "mean_words", "one_sentence", "starts_the", "starts_this", "third_person")))
+
+
+@query(f"""WITH k AS (SELECT project, regexp_extract(notice, '[A-Za-z]+') AS word, count(*) AS k FROM {_PAIRS} WHERE regexp_extract(notice, '[A-Za-z]+') <> '' GROUP BY ALL)
+SELECT project, word, k, CAST(row_number() OVER (PARTITION BY project ORDER BY k DESC, word) AS INT) AS place FROM k QUALIFY place <= 5""")
+def opening_words(spark, d):
+    return classify.first_words(pairs_(spark, d, "project", "notice"), "notice", "project", 5)
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL),

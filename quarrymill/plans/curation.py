@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import emission
-from ..operators import corpus, critics, curate, dedup, runs
+from ..operators import corpus, critics, curate, dedup, experiment, runs, tables
 from ..session import table
 from ..sources import index
 from .catalogue import _OK, _PAIRS, _RUNS, pairs_, query, runs_, units_
@@ -190,3 +190,40 @@ def doc_checks(spark, d):
 def comment_markers(spark, d):
     r = runs_(spark, d, "error", "final").where(~runs.failed())
     return r.groupBy(runs.marker(F.col("final")).alias("marker")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH t AS (SELECT p.id AS pair_id, c.config, s.seed, p.name FROM {_PAIRS} p, (SELECT unnest(['full', 'bare']) AS config) c, (SELECT CAST(unnest([1, 2]) AS INT) AS seed) s WHERE p.kind = 'function'),
+d AS (SELECT DISTINCT 'full' AS config, 1 AS seed, pair_id FROM {_RUNS} WHERE {_OK})
+SELECT config, seed, count(*) AS n, count(*) FILTER (length(name) % 7 = 0) AS errors, min(CASE WHEN length(name) % 7 <> 0 THEN '@notice ' || upper(name) || ' ' || seed || ' ' || config END) AS first FROM t WHERE (config, seed, pair_id) NOT IN (SELECT (config, seed, pair_id) FROM d) GROUP BY config, seed""")
+def experiment_matrix(spark, d):
+    """A stub generator over every function, configuration and seed that is not done; names of a length divisible by 7 make it fail."""
+    contexts = pairs_(spark, d, "name", "kind").where("kind = 'function'").select(F.col("id").alias("pair_id"), "name")
+    configs, seeds = (spark.createDataFrame(x, s) for x, s in (([("full",), ("bare",)], "config string"), ([(1,), (2,)], "seed int")))
+    done = runs_(spark, d, "pair_id", "error").select(F.lit("full").alias("config"), F.lit(1).alias("seed"), "pair_id", "error")
+
+    def make(seed: int):
+        def write(row: dict) -> str:
+            if len(row["name"]) % 7 == 0:
+                raise ValueError("no answer")
+            return f"@notice {row['name'].upper()} {seed} {row['config']}"
+
+        return write
+
+    out = experiment.generate(experiment.open_tasks(contexts, curate.matrix(configs, seeds), done), make)
+    return out.groupBy("config", "seed").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"), F.min("final").alias("first"))
+
+
+@query(f"""WITH w AS (SELECT config, pair_id, avg(support_rate) AS s FROM {_RUNS} WHERE {_OK} AND support_rate IS NOT NULL GROUP BY ALL), g AS (SELECT pair_id, round(max(s) - min(s), 6) AS score FROM w GROUP BY pair_id)
+SELECT * FROM (SELECT 'gap' AS how, pair_id, score FROM g ORDER BY score DESC, pair_id DESC LIMIT 10) UNION ALL SELECT * FROM (SELECT 'worst', pair_id, score FROM g ORDER BY score, pair_id LIMIT 10)
+UNION ALL SELECT 'spread', pair_id, score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, pair_id DESC) - 1 AS rn, count(*) OVER () // 10 AS step FROM g) WHERE rn % step = 0 AND rn < 10 * step""")
+def example_units(spark, d):
+    s = runs.per_config_means(runs_(spark, d, "config", "seed", "pair_id", "error", "support_rate")).groupBy("config", "pair_id").agg(F.avg("score").alias("score"))
+    g = tables.gaps(s).withColumn("score", F.round("score", 6))
+    out = [tables.picked(g, how, 10).select(F.lit(how).alias("how"), "pair_id", "score") for how in ("gap", "worst", "spread")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"""SELECT id, CASE WHEN len(l) > 0 THEN array_to_string(l, chr(10)) ELSE '(no gold comment)' END AS gold FROM (SELECT id, list_concat(list_filter([CASE WHEN trim(notice) <> '' THEN '@notice ' || trim(notice) END, CASE WHEN trim(dev) <> '' THEN '@dev ' || trim(dev) END], lambda x: x IS NOT NULL),
+ list_transform(list_sort(coalesce(map_keys(params), [])), lambda k: '@param ' || k || ' ' || coalesce(params[k], '')), list_transform(coalesce(returns, []), lambda r: '@return ' || trim(concat_ws(' ', r.name, r.text)))) AS l FROM {_PAIRS})""")
+def gold_comments(spark, d):
+    return dedup.newest(table(spark, d, "pairs"), "id", "written_at", "notice", "dev", "params", "returns").select("id", tables.gold_comment().alias("gold"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,3 +53,31 @@ def longest_prefix(specs: DataFrame, trees: DataFrame) -> DataFrame:
     hit = s.where("spec is not null").select("spec", F.explode(begin).alias("prefix")).join(trees.select("prefix", "tree", "priority"), "prefix")
     best = hit.groupBy("spec").agg(F.min(F.struct((-F.length("prefix")).alias("n"), "priority", "tree", "prefix")).alias("b"))
     return specs.join(best.select("spec", "b.prefix", "b.tree", "b.priority"), "spec", "left")
+
+
+def project_of(file: Column, slugs: list[tuple[str, str]]) -> Column:
+    """The slug of the first (part, slug) whose part a file's folder has, in the order of the list; else the folder itself."""
+    folder = F.split_part(file, F.lit("/"), F.lit(1))
+    out = folder
+    for part, slug in reversed(slugs):
+        out = F.when(F.contains(F.lower(folder), F.lit(part.lower())), slug).otherwise(out)
+    return out
+
+
+def verify_lines(spark: SparkSession, wanted: dict[str, tuple[int, str | None]]) -> DataFrame:
+    """(``path``, ``lines``, ``sha1``, ``ok``) of files against their count of lines and, if given, their digest. A file that is not there raises."""
+    out = None
+    for path, (count, sha) in wanted.items():
+        whole = spark.read.format("binaryFile").load(path)
+        text = F.expr("make_valid_utf8(cast(content as string))")
+        n = F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n\z", ""), "\n")))
+        one = whole.select(F.lit(path).alias("path"), n.alias("lines"), F.sha1("content").alias("sha1"))
+        one = one.withColumn("ok", (F.col("lines") == count) & (F.lit(sha is None) | (F.col("sha1") == F.lit(sha))))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def differing_lines(spark: SparkSession, a: str, b: str) -> DataFrame:
+    """(``line``, ``a``, ``b``) where two files differ; a line one of them lacks is null."""
+    x, y = (read_lines(spark, p).withColumnRenamed("text", n) for p, n in ((a, "a"), (b, "b")))
+    return x.join(y, "line", "full").where(~F.col("a").eqNullSafe(F.col("b")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,13 +21,13 @@ def fresh(new: DataFrame, old: DataFrame, *keys: str) -> DataFrame:
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str, *keys: str) -> int:
-    """Appends rows whose keys the table lacks; a second run adds none. Gives the number added."""
+    """Appends rows whose keys the table lacks; a second run adds none. Gives the number added, counted while they are written."""
     new = new.dropDuplicates(list(keys))
     if _exists(spark, path):
         new = fresh(new, spark.read.parquet(path), *keys)
-    before = spark.read.parquet(path).count() if _exists(spark, path) else 0
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - before
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, sha: str) -> DataFrame:
@@ -71,6 +71,31 @@ def call_key(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts)))
 
 
-def tree_digest(files: DataFrame) -> DataFrame:
-    """One digest over sorted paths and contents (``file``, ``sha1``)."""
-    return files.agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "sha1"))), lambda r: F.concat_ws(" ", r["file"], r["sha1"])), "\n")).alias("digest"))
+def tree_digest(files: DataFrame, folders: int = 4096) -> DataFrame:
+    """One digest of sorted paths and contents (``file``, ``sha1``), by way of one per bucket of paths, so that no task sees all files but for a digest of each bucket."""
+    bucket = F.pmod(F.xxhash64("file"), F.lit(folders)).cast("int").alias("bucket")
+    lines = lambda *c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda r: F.concat_ws(" ", *(r[x].cast("string") for x in c))), "\n")
+    per = files.groupBy(bucket).agg(F.sha1(lines("file", "sha1")).alias("part"))
+    return per.agg(F.sha1(lines("bucket", "part")).alias("digest"))
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON object per line; nulls are written, so that every line has every field."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def shard_key(source: Column, tool: str) -> Column:
+    """Name of a shard: a digest of its content and of what made it, so that neither change finds an old shard."""
+    return F.sha1(F.concat_ws("\x1f", F.lit(tool), F.coalesce(source, F.lit("\x00"))))
+
+
+def unsharded(spark: SparkSession, sources: DataFrame, path: str, tool: str) -> DataFrame:
+    """Sources (``src``) whose shard is not in the cache at ``path`` yet, with its ``shard``."""
+    keyed = sources.withColumn("shard", shard_key(F.col("src"), tool))
+    return fresh(keyed, spark.read.parquet(path), "shard") if _exists(spark, path) else keyed
+
+
+def index_view(ledger: DataFrame) -> DataFrame:
+    """The latest run of every file that a ledger (``run``, ``at``, ``files``) names: ``file``, ``path``, ``run``, ``at``."""
+    each = ledger.select("run", "at", F.explode("files").alias("file", "path"))
+    return each.groupBy("file").agg(F.max(F.struct("run", "at", "path")).alias("r")).select("file", "r.path", "r.run", "r.at")

@@ -41,3 +41,28 @@ def append_each(stream: DataFrame, path: str, checkpoint: str, change: Callable[
         (change(df) if change else df).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(stream: DataFrame, *keys: str) -> DataFrame:
+    """Records and errors so far of a growing table of runs, by some keys; for an output in complete mode."""
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("done"), F.count_if(failed).alias("errors"), F.max("finished_at").alias("last"))
+
+
+def follow(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a progress in memory under a name, whole after every batch."""
+    return stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def merge_each(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> StreamingQuery:
+    """Keeps a table up to date with a stream: after each batch a new version of it, ``merge`` of the last one (None at first) and the batch.
+
+    Versions are numbered by the batch, so a repeated batch starts from the same one and replaces its own.
+    """
+    spark = stream.sparkSession
+
+    def put(df: DataFrame, epoch: int) -> None:
+        last = spark.read.parquet(f"{path}/v={epoch - 1}") if epoch else None
+        merge(last, df).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
