@@ -62,7 +62,6 @@ _TOKEN = re.compile(r"[^\W_](?:\w*)|_\w+")
 _IDENT = re.compile(r"`[^`]*`?|\b_?[A-Za-z]+[a-z0-9][A-Z]\w*|\b\w*\d\w*|\b\w*_\w*")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _JSON_START = re.compile(r'[{\[]\s*(?:["{\[\]}]|\Z)')
-_LAST = re.compile(r"(?<![\w`@])([a-z]+)(-?)\W*$")
 
 
 @cache
@@ -90,7 +89,12 @@ def refuses(text: str) -> bool:
 
 def language(text: str) -> str | None:
     """The language of a text, None if there is too little to tell."""
-    text = _IDENT.sub(" ", _TAGS.sub(" ", text))
+    return _spoken(_TAGS.sub(" ", text))
+
+
+def _spoken(text: str) -> str | None:
+    """As ``language``, of a text without tags."""
+    text = _IDENT.sub(" ", text)
     words = _LETTERS.findall(text)
     if not text.isascii():
         letters = sum(map(len, words))
@@ -218,9 +222,10 @@ def _strings(value) -> Iterator[str]:
 
 def unwrap(raw: str) -> tuple[str, bool]:
     """The answer inside its wrapping, and whether the wrapping is cut off."""
-    s = _INVISIBLE.sub("", raw).strip()
-    cut = s.count("```") % 2 == 1
-    bare = _FENCE.sub("", s).replace("```", "").strip()
+    s = _seen(raw).strip()
+    fences = s.count("```")
+    cut = fences % 2 == 1
+    bare = _FENCE.sub("", s).replace("```", "").strip() if fences else s
     m = _JSON_START.search(bare)
     if m and (m.start() == 0 or not re.search(r"[;(){}]", bare[: m.start()])):
         body = bare[m.start() :]
@@ -244,34 +249,45 @@ def unwrap(raw: str) -> tuple[str, bool]:
     return bare, cut
 
 
+def _seen(text: str) -> str:
+    return text if text.isascii() else _INVISIBLE.sub("", text)
+
+
 def plain(text: str) -> str:
     """Without comment marks."""
-    return _MARKS.sub("", _INVISIBLE.sub("", text)).strip()
+    return _MARKS.sub("", _seen(text)).strip()
 
 
-def _content(text: str) -> str:
-    return _TAGS.sub(" ", plain(text)).strip()
+def is_empty(bare: str) -> bool:
+    """Whether a text without marks and tags says nothing."""
+    return not any(map(str.isalnum, bare)) or len(bare) < 40 and bare.strip("\"'()[]{}<>.…-*_ \t\r\n").lower() in _NOTHING
 
 
-def is_empty(text: str) -> bool:
-    c = _content(text)
-    return not any(ch.isalnum() for ch in c) or c.strip("\"'()[]{}<>.…-*_ \t\r\n").lower() in _NOTHING
+def last_word(text: str) -> tuple[str | None, bool]:
+    """The plain word a text ends in, whatever marks follow, and whether a hyphen does; None if it ends in anything else."""
+    end = len(text)
+    while end and not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        end -= 1
+    start = end
+    while start and "a" <= text[start - 1] <= "z":
+        start -= 1
+    before = text[start - 1 : start]
+    if start == end or before and (before.isalnum() or before in "_`@"):
+        return None, False
+    return text[start:end], text[end : end + 1] == "-"
 
 
-def fragment(text: str) -> tuple[bool, str | None]:
-    """Whether a text surely stops before its end; else its last word, if only other texts can tell."""
-    t = plain(text)
-    if t.count("/*") > t.count("*/") or text.lstrip().startswith("/*") and "*/" not in text:
+def fragment(text: str, flat: str) -> tuple[bool, str | None]:
+    """Whether a text (``flat``: without marks) surely stops before its end; else its last word, if only other texts can tell."""
+    if "/*" in flat and flat.count("/*") > flat.count("*/") or "*/" not in text and text.lstrip().startswith("/*"):
         return True, None
-    tick = t.rfind("`")
-    if t.count("`") % 2 or tick >= 0 and (tick == 0 or t[tick - 1].isspace()):  # the last one opens
+    tick = flat.rfind("`")
+    if tick >= 0 and (flat.count("`") % 2 or tick == 0 or flat[tick - 1].isspace()):  # the last one opens
         return True, None
-    m = _LAST.search(t)
-    if not m or t[-1:] in ".!?。！？":
-        return False, None
-    if m.group(2) or m.group(1) in _DANGLING:
+    last, hyphen = (None, False) if flat[-1:] in ".!?。！？" else last_word(flat)
+    if last and (hyphen or last in _DANGLING):
         return True, None
-    return False, m.group(1)
+    return False, last
 
 
 def defect(raw: str | None, expected: str | None, prompt: str) -> tuple[str | None, str | None, str]:
@@ -279,19 +295,20 @@ def defect(raw: str | None, expected: str | None, prompt: str) -> tuple[str | No
     if raw is None:
         return "empty", None, ""
     text, cut = unwrap(raw)
-    if is_empty(text):
-        return ("truncated" if cut else "empty"), None, ""
     flat = plain(text)
+    bare = _TAGS.sub(" ", flat) if "@" in flat else flat
+    if is_empty(bare.strip()):
+        return ("truncated" if cut else "empty"), None, ""
     if refuses(flat):
         return "refusal", None, flat
-    if copies(words_of(_TAGS.sub(" ", flat)), prompt):
+    if copies(words_of(bare), prompt):
         return "copied", None, flat
     if cut:
         return "truncated", None, flat
-    said = language(flat)
+    said = _spoken(bare)
     if said and expected and said != expected:
         return "language", None, flat
-    sure, last = fragment(text)
+    sure, last = fragment(text, flat)
     return ("truncated" if sure else None), last, flat
 
 

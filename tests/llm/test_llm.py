@@ -145,6 +145,13 @@ def test_replies_awkward(spark):
     assert rows(reply_defects.found(calls.limit(0), runs.limit(0), pairs.limit(0))) == []
 
 
+@given(st.text("ab-_`@ .1Zé", max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_last_word(text):
+    m = re.search(r"(?<![\w`@])([a-z]+)(-?)\W*$", text)
+    assert reply_defects.last_word(text) == ((m.group(1), bool(m.group(2))) if m else (None, False))
+
+
 def test_replies_of_larger_tables(spark):
     """A reply's verdict does not hang on how often its table holds the same texts, nor on one stray use of a fragment."""
     texts = ["Settles the claim at the current margin", "Adds a margin to the pool. Keeps the rest.", "Moves it to settlem", "Reads the margin of a claim, then the pool.", "Empties the pool for good"]
