@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .classify import header_params
+from .classify import header_params, header_returns
+from .corpus import leaked
 
 
 def _rows(df: DataFrame, check: str, key: Column, detail: Column) -> DataFrame:
@@ -118,5 +119,16 @@ def require(violations_: DataFrame, most: int = 5) -> None:
         raise ValueError("; ".join(f"[{r['check']}] {r['key']}: {r['detail']}" for r in first))
 
 
+def audit(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """(``item``, ``found``, ``ok``) of a corpus: projects in several splits, evaluation texts that training has, functions whose returns are not all recorded, and pairs that are indexed."""
+    s = F.lower(F.trim("split"))
+    mixed = pairs.where(s.isin("train", "val", "test")).groupBy("project").agg(F.count_distinct(s).alias("n")).where("n > 1")
+    missing = pairs.where(F.col("kind").isin("function", "receive", "fallback") & (header_returns(F.col("code")) != F.coalesce(F.greatest(F.size("returns"), F.lit(0)), F.lit(0))))
+    have = units.select(F.col("pair_id").alias("id"), F.lit(1).alias("has")).distinct()
+    none = lambda df, item: df.agg(F.lit(item).alias("item"), F.count(F.lit(1)).alias("found"), (F.count(F.lit(1)) == 0).alias("ok"))
+    covered = pairs.select("id").join(have, "id", "left").agg(F.lit("coverage").alias("item"), F.count("has").alias("found"), (F.count("has") == F.count(F.lit(1))).alias("ok"))
+    return none(mixed, "splits_disjoint").unionByName(none(leaked(pairs), "no_leakage")).unionByName(none(missing, "returns_complete")).unionByName(covered)
+
+
 def violations(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

@@ -36,6 +36,12 @@ def in_scope(pairs: DataFrame, split: str | None = None, kinds: list[str] | None
     return out.where(F.col("kind").isin(*kinds)) if kinds is not None else out
 
 
+def assign_split(files: DataFrame, members: DataFrame) -> DataFrame:
+    """``files`` (``file``, ``project``, ``role``) with the ``split`` of their project (``members``: ``project``, ``split``); dependencies and files of unknown projects are ``excluded``."""
+    m = members.groupBy("project").agg(F.min("split").alias("split"))
+    return files.join(m, "project", "left").withColumn("split", F.when(F.col("role") == "dependency", "excluded").otherwise(F.coalesce("split", F.lit("excluded"))))
+
+
 def project_split(df: DataFrame, project: str = "project", shares: tuple[int, int, int] = (80, 10, 10)) -> DataFrame:
     """A split per project by hash, so no project is in two; the same on every run and partitioning."""
     h = F.conv(F.substring(F.sha1(F.col(project)), 1, 8), 16, 10).cast("long") % 100

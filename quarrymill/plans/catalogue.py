@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, solidity, text
@@ -491,7 +491,7 @@ def _half_sql(name: str, lo: int, hi: int) -> str:
 @query(f"""WITH h AS ({_half_sql("left", 1, 32)} UNION ALL {_half_sql("right", 33, 64)}),
 z AS (SELECT query_id, unit_id, CASE view WHEN 'left' THEN 0.6 ELSE 0.4 END * (score - avg(score) OVER w) / (CASE WHEN stddev_pop(score) OVER w > 1e-9 THEN stddev_pop(score) OVER w ELSE 1 END) AS z FROM h WINDOW w AS (PARTITION BY query_id, view)),
 f AS (SELECT query_id, unit_id, round(sum(z), 6) AS fused FROM z GROUP BY ALL)
-SELECT query_id, unit_id, fused FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, unit_id) <= 5""")
+SELECT query_id, unit_id, fused FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, unit_id) <= 5) WHERE fused >= 1.0""")
 def fused_search(spark, d):
     e = table(spark, d, "embeddings")
     hits = None
@@ -500,10 +500,8 @@ def fused_search(spark, d):
         h = retrieval.top_k(v, v.where("vec_id % 20 = 0"), 20).withColumn("view", F.lit(name)).drop("rank")
         hits = h if hits is None else hits.unionByName(h)
     fused = retrieval.fuse(hits, {"left": 0.6, "right": 0.4}, 40).select("query_id", "unit_id", r6(F.col("fused"), "fused"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.desc("fused"), "unit_id")
-    return fused.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+    return fused.withColumn("rn", F.row_number().over(w)).where("rn <= 5").where("fused >= 1.0").drop("rn")  # the best first, the threshold then
 
 
 @query(f"""WITH k AS (SELECT sha1(regexp_replace(code, '\\s+', '', 'g')) AS e, min(id) AS target_id, count(*) AS candidates FROM {_PAIRS} WHERE code IS NOT NULL GROUP BY 1)

@@ -46,18 +46,17 @@ def pragma_floor(spark, d):
 _TAGGED = "list_sort(list_distinct(regexp_extract_all(r.final, '@param\\s+(\\w+)', 1)))"
 
 
-@query(f"""WITH x AS (SELECT r.run_id, {_TAGGED} AS got, list_sort(coalesce(map_keys(p.params), [])) AS want, len(regexp_extract_all(r.final, '@return')) AS rets, len(coalesce(p.returns, [])) AS n
+@query(f"""WITH x AS (SELECT r.run_id, {_TAGGED} AS got, list_sort(coalesce(map_keys(p.params), [])) AS want, len(regexp_extract_all(r.final, '@return')) AS rets, len(coalesce(p.returns, [])) AS n, trim(regexp_extract(r.final, '@notice([^@]*)', 1)) <> '' AS has_notice
  FROM {_RUNS} r JOIN {_PAIRS} p ON r.pair_id = p.id WHERE {_OK} AND r.final IS NOT NULL)
-SELECT run_id, got = want AS param_exact, len(list_filter(got, lambda x: NOT list_contains(want, x))) > 0 AS param_invented, len(list_filter(want, lambda x: NOT list_contains(got, x))) > 0 AS param_missing, rets = n AS return_arity_ok FROM x""")
+SELECT run_id, got = want AS param_exact, len(list_filter(got, lambda x: NOT list_contains(want, x))) > 0 AS param_invented, len(list_filter(want, lambda x: NOT list_contains(got, x))) > 0 AS param_missing, rets = n AS return_arity_ok, has_notice FROM x""")
 def structural_predicates(spark, d):
-    p = table(spark, d, "pairs").select(F.col("id").alias("pair_id"), "written_at", "params", "returns")
-    newest = p.groupBy("pair_id").agg(F.max("written_at").alias("written_at"))
-    p = p.join(newest, ["pair_id", "written_at"]).dropDuplicates(["pair_id"])
+    p = dedup.newest(table(spark, d, "pairs"), "id", "written_at", "params", "returns").withColumnRenamed("id", "pair_id")
     r = runs_(spark, d, "pair_id", "error", "final").where(~runs.failed()).where("final is not null").join(p, "pair_id")
     got = F.array_sort(F.array_distinct(F.regexp_extract_all("final", F.lit(r"@param\s+(\w+)"), F.lit(1))))
     want = F.array_sort(F.coalesce(F.map_keys("params"), F.array().cast("array<string>")))
     n = F.when(F.col("returns").isNull(), 0).otherwise(F.size("returns"))
-    return r.select("run_id", (got == want).alias("param_exact"), (F.size(F.array_except(got, want)) > 0).alias("param_invented"), (F.size(F.array_except(want, got)) > 0).alias("param_missing"), (F.regexp_count("final", F.lit("@return")) == n).alias("return_arity_ok"))
+    has = F.trim(F.regexp_extract("final", "@notice([^@]*)", 1)) != ""
+    return r.select("run_id", (got == want).alias("param_exact"), (F.size(F.array_except(got, want)) > 0).alias("param_invented"), (F.size(F.array_except(want, got)) > 0).alias("param_missing"), (F.regexp_count("final", F.lit("@return")) == n).alias("return_arity_ok"), has.alias("has_notice"))
 
 
 @query(f"SELECT id, sha1(concat_ws('|', project, signature)) AS group_key, split_part(arity_key, '/', 1) AS name, CAST(split_part(arity_key, '/', 2) AS INT) AS arity FROM {_PAIRS}")
@@ -71,7 +70,11 @@ def shards(spark, d):
     return table(spark, d, "documents").groupBy(F.pmod("doc_id", F.lit(1000)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("chars"))
 
 
-@query()
+_NOT_CODE = r"""("(?:\\.|[^"\\\r\n])*"?|''(?:\\.|[^''\\\r\n])*''?)|//[^\r\n]*|/\*(?:[^*]|\*+[^*/])*(?:\*+/|\**$)"""
+
+
+@query(f"""SELECT file, length(src) AS chars, CAST(length(regexp_replace(regexp_replace(src, '{_NOT_CODE}', '', 'g'), '\\s+', '', 'g')) + coalesce(list_sum(list_transform(regexp_extract_all(src, '{_NOT_CODE}', 1), lambda x: length(x))), 0) AS INT) AS code_chars
+FROM (SELECT * FROM source_files WHERE src IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file ORDER BY fetched_at DESC, src DESC) = 1)""")
 def stripped_code(spark, d):
     f = dedup.latest(table(spark, d, "source_files").where("src is not null"), "file", "fetched_at", "src")
     return f.select("file", F.length("src").alias("chars"), solidity.visible_code(F.col("src")).alias("code_chars"))
@@ -169,8 +172,7 @@ def split_effect(spark, d):
 
 @query()
 def field_means(spark, d):
-    p = table(spark, d, "pairs").select(F.col("id").alias("pair_id"), "written_at", "notice", "dev", "params", "returns")
-    p = p.join(p.groupBy("pair_id").agg(F.max("written_at").alias("written_at")), ["pair_id", "written_at"]).dropDuplicates(["pair_id"])
+    p = dedup.newest(table(spark, d, "pairs"), "id", "written_at", "notice", "dev", "params", "returns").withColumnRenamed("id", "pair_id")
     ref = p.select("pair_id", F.explode(corpus.reference_fields()).alias("field", "want"))
     r = runs_(spark, d, "pair_id", "config", "error", "final").where(~runs.failed()).join(ref, "pair_id")
     s = r.select("config", "run_id", F.substring_index("field", ":", 1).alias("kind"), metrics.rouge_l(F.col("final"), F.col("want")).alias("score"))
