@@ -37,6 +37,9 @@ _STOPWORDS = {
     "de": "der die das und ist nicht ein eine einen einem einer mit auf für von dem den des wird werden wenn nach vor sich auch im zu zur zum über bei aus oder wurde noch kein keine diese dieser bereits dann gegen",
     "fr": "le la les de d l encore peut doit également tant reste fonction des et est une un dans pour par sur qui que avec ne pas se au aux du ce cette ces il elle été sont plus après avant lors chaque puis sans entre cette si déjà",
     "es": "el los las la y quien también ninguna ningún mientras puede podrá es una un del al se en por para con que su sus no lo como antes después cada si está son fue ya hasta según sin cuando sobre pero este esta función de",
+    "it": "il gli della degli delle dello nel nella sul sulla che non è uno viene dal dalla alla allo questo questa anche più dei ed",
+    "nl": "het een van niet wordt naar voor met zijn aan door als wanneer bij ook dat deze dit er",
+    "pl": "nie się jest dla przez gdy oraz lub od jako który która że tego ten jeśli",
     "pt": "o os as e também nenhuma nenhum enquanto pode poderá é uma um do da dos das ao na no nas nos em por para com que se não são foi está ser já até segundo antes depois cada quando sobre mas este esta função de",
 }
 _SCRIPT = {
@@ -50,10 +53,20 @@ _REFUSALS = (
     "something i have to pass", "outside of what i can", "beyond what i can", "not something i can", "my guidelines", "my instructions do not", "my policy", "my policies",
     "not be appropriate for me", "inappropriate for me", "as an automated assistant", "as an ai", "as a language model", "as an assistant", "no answer can be",
     "no documentation can be provided", "no response can be", "no description can be provided", "request declined", "request denied", "request refused", "than i was given", "declining to answer", "cannot assist with", "can't assist with", "unable to assist", "unable to help",
+    "prefer not to answer", "prefer not to respond", "sorry, but", "sorry, no", "sorry - ", "turn down", "beyond my abilities", "beyond my capabilities", "not permitted to answer", "good conscience",
+    "against my rules", "assistant does not", "assistant cannot", "unable to provide", "we are unable to help", "we are unable to answer", "we can't help", "we cannot help", "no way i can",
     "unable to comply", "unable to fulfil", "unable to provide an answer", "cannot comply", "can't comply", "cannot help with", "can't help with", "apologies, ", "my apologies",
-    "lo siento", "no puedo ", "je ne peux pas", "je suis désolé", "ich kann nicht", "ich kann diese", "es tut mir leid", "não posso ", "desculpe", "я не могу", "извините", "我无法", "我不能", "抱歉",
+    "lo siento", "no puedo ", "je ne peux pas", "je refuse", "je suis désolé", "ich kann nicht", "ich kann diese", "darf ich", "es tut mir leid", "não posso ", "desculpe", "я не могу", "извините", "我无法", "我不能", "抱歉", "对不起",
 )
 
+# What someone says of themselves who declines: every beginning with every end is a phrase of the automaton.
+_SELF = {
+    ("i", "i also", "i simply", "unfortunately i", "i really"): ("cannot", "can't", "can not", "won't", "will not", "must refuse", "must decline", "have to refuse", "have to decline", "have to pass", "have to say no", "need to pass", "need to decline", "lack the", "do not provide", "don't provide", "don't have enough", "do not have enough", "do not comment", "don't comment", "do not write", "have been instructed not", "was instructed not", "would prefer not", "would rather not"),
+    ("i am", "i'm", "i was"): ("unable", "unwilling", "not able", "not allowed", "not permitted", "not in a position", "not going to", "not willing", "permitted to do", "going to decline", "going to refuse", "going to pass", "going to have to", "declining", "refusing", "forbidden"),
+    ("i will", "i'll", "i would", "i'd"): ("have to refuse", "have to decline", "have to pass", "have to say no", "need to pass", "need to decline", "not be able", "prefer not", "rather not"),
+}
+_SELF_PHRASES = tuple(f"{a} {b}" for heads, ends in _SELF.items() for a in heads for b in ends)
+
 _INVISIBLE = re.compile("[​-‏⁠-⁤﻿­]")
 _FENCE = re.compile(r"```[A-Za-z]*[ \t]*\r?\n?")
 _MARKS = re.compile(r"^[ \t]*(?:/\*\*?|\*/|\*(?!\*)|///?)[ \t]*|[ \t]*\*/[ \t]*$", re.M)
@@ -69,7 +82,7 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for p in _REFUSALS:
+    for p in {*_REFUSALS, *_SELF_PHRASES}:
         a.add_word(p, len(p))
     a.make_automaton()
     return a
@@ -82,9 +95,24 @@ def _votes() -> dict[str, tuple[str, ...]]:
     return {w: tuple(k for k in lists if w in lists[k]) for w in set().union(*lists.values())}
 
 
+# Who answers, speaking of themselves, and what says that they do not; both in one sentence decline.
+_SPEAKER = re.compile(r"\bI(?:'m|'d|'ll|'ve)?\b(?![./_])|\b(?:[Jj]e|[Jj]'|[Ii]ch|[Яя])\b|我")
+_DENIAL = re.compile(
+    r"(?i)\b(?:not|cannot|\w+n't|unable|unwilling|refus\w*|declin\w*|skip|sorry|apolog\w*|unfortunately|rather|prefer|forbidden|nothing|no|ne|pas|nicht|leider|kein\w*|не|отказ\w*)\b|不|无法|拒"
+)
+_SENTENCE = re.compile(r"[.!?;\n。！？]+")
+_QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"")
+
+
 def refuses(text: str) -> bool:
-    t = " ".join(text.replace("’", "'").lower().split())
-    return any(end + 1 == n or not t[end - n].isalnum() for end, n in _automaton().iter(t))
+    """Whether an answer declines to answer: one of the automaton's phrases, or a sentence in which who answers denies it."""
+    text = text.replace("’", "'")
+    t = " ".join(text.lower().split())
+    if any(end + 1 == n or not t[end - n].isalnum() for end, n in _automaton().iter(t)):
+        return True
+    if not _SPEAKER.search(text):
+        return False
+    return any(_SPEAKER.search(x) and _DENIAL.search(x) for x in _SENTENCE.split(_QUOTED.sub(" ", text)))
 
 
 def language(text: str) -> str | None:

@@ -145,6 +145,54 @@ def test_replies_awkward(spark):
     assert rows(reply_defects.found(calls.limit(0), runs.limit(0), pairs.limit(0))) == []
 
 
+# written after the phrases and the rule, and not used for them
+UNSEEN_REFUSALS = """I do not think it is right for me to describe this.
+Writing this comment is off limits for me.
+I was told to leave such functions alone, so no comment from me.
+Nope, I am staying out of this one.
+I'd have to see the rest before I said anything, so no.
+It would be wrong of me to guess, I must leave it blank.
+Let us talk about something else instead.
+I never comment on token code.
+I haven't got the permission to answer that.
+Not going to happen.
+My answer is no.
+I regret that I can offer no description.
+Ich möchte dazu keine Angaben machen.
+Je préfère ne pas décrire cette fonction.
+Prefiero no describir esta función.
+Prefiro não descrever esta função.
+Я предпочёл бы не описывать это.
+我拒绝描述这个函数。""".splitlines()
+NO_REFUSALS = """Reverts if the caller cannot pay the fee.
+Declines the marginal sentinel when the ledger cannot prove the reserve.
+Refuses the weekly sponsor if the shard is closed.
+Unable to recover once the value is zero.
+Sorry looking arithmetic: the total is scaled twice.
+The owner can't withdraw before the season ends.
+No answer is given by the oracle while it is paused.
+Callers should not rely on the returned value.
+Cannot be called by contracts.
+This function is not able to move more than the cap.
+As an operator, the caller may pause the vault.
+Outside of the window the request is denied.
+We cannot overflow here because the total is capped.
+I is the index of the slot.
+Rejects the request when the signer is unknown.
+The keeper is unable to drain the pool twice.
+Must not be called while the auction is open.
+Beyond the cap the rest is refunded.
+It's not possible to revoke a matured claim.
+No permission is needed to read the slot.
+Will not emit an event if the amount is zero.
+The assistant role may pause, the owner may not.""".splitlines()
+
+
+def test_refusals_in_unseen_words():
+    assert sum(map(reply_defects.refuses, UNSEEN_REFUSALS)) >= 0.5 * len(UNSEEN_REFUSALS)  # 9 of 18 when written
+    assert not any(map(reply_defects.refuses, NO_REFUSALS))
+
+
 @given(st.text("ab-_`@ .1Zé", max_size=12))
 @settings(max_examples=300, deadline=None)
 def test_last_word(text):
