@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import solidity
+from . import comments, solidity
 
 WIDTH = 100
 #: Tags that are written for another one.
@@ -288,6 +288,24 @@ def strip_lines(comment: str, claims: Iterable[str]) -> str:
 
 # columns ---------------------------------------------------------------------------------------------------------
 
+def verify(original: str, emitted: str) -> dict:
+    """Whether an emitted file has the original's code, and how many of its exposed members are documented; ``completeness`` is null of none."""
+    members = comments.exposed_members(emitted)
+    n, done = len(members), sum(m[2] for m in members)
+    return {"code_unchanged": without_comments(original) == without_comments(emitted), "exposed": n, "documented": done, "completeness": done / n if n else None}
+
+
+def verified(original: Column, emitted: Column) -> Column:
+    """Column of ``verify``; null texts count as empty."""
+
+    @F.arrow_udf("struct<code_unchanged:boolean,exposed:int,documented:int,completeness:double>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        kind = pa.struct([("code_unchanged", pa.bool_()), ("exposed", pa.int32()), ("documented", pa.int32()), ("completeness", pa.float64())])
+        return pa.array([verify(x or "", y or "") for x, y in zip(a.to_pylist(), b.to_pylist())], kind)
+
+    return run(original, emitted)
+
+
 _RESULT = "struct<emitted:string,placed:int,skipped:array<string>,code_unchanged:boolean>"
 
 

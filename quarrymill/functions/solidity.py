@@ -250,10 +250,14 @@ _PLACEHOLDER = re.compile(
 )
 
 
+# what stands in brackets, or for an omission, where text should be
+_SLOT = re.compile(r"(?<![\w`)\]])(?:<[^<>`]*>|\[[^\[\]`]*\]|\{+[^{}`]*\}+)|_{2,}|\.{3,}|…")
+
+
 def is_trivial(text: str, name: str) -> bool:
-    """No more than two words, the declared name again, or merely a placeholder."""
+    """No more than two words, slots to be filled in not counted; the declared name again; or merely a placeholder."""
     words = _WORD.findall(text)
-    if len(words) <= 2:
+    if len(words) <= 2 or len(_WORD.findall(_SLOT.sub(" ", text))) <= 2:
         return True
     if _PLACEHOLDER.match(text):
         return True

@@ -58,6 +58,24 @@ def drop_families(tables: DataFrame, *families: str) -> DataFrame:
     return out
 
 
+def fact_rows(decl: Column, modifiers: Column, reads: Column, writes: Column) -> Column:
+    """What a declaration shows without reading its body, numbered in a fixed order: kind, visibility, mutability, parameters, returns, modifiers, state read and written, role, purity.
+
+    ``decl`` is a struct of ``kind``, ``visibility``, ``mutability``, ``params`` and ``returns`` (texts of type
+    and name); the others are arrays of names, which are sorted, as they are sets.
+    """
+    of = lambda kind, c: F.transform(F.coalesce(c, _none()), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+    one = lambda kind, c: of(kind, F.array_compact(F.array(c)))
+    names = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, _none())))
+    joined = lambda c: F.nullif(F.array_join(names(c), ", "), F.lit(""))
+    still = F.when((F.coalesce(decl["mutability"], F.lit("")) != "view") & (F.size(names(reads)) == 0) & (F.size(names(writes)) == 0), "touches no state")
+    rows = F.concat(
+        one("kind", decl["kind"]), one("visibility", F.coalesce(decl["visibility"], F.lit("internal"))), one("mutability", decl["mutability"]), of("parameter", decl["params"]), of("return", decl["returns"]),
+        of("modifier", modifiers), one("state_read", joined(reads)), one("state_written", joined(writes)), one("role", F.when(decl["kind"] == "constructor", "constructor")), one("purity", still),
+    )
+    return numbered(rows, "F", kind=lambda r: r["kind"], text=lambda r: r["text"])
+
+
 def call_rows(nodes: Column) -> Column:
     """Numbered calls of nodes (``id`` and an array of targets per kind of call): the more specific kind wins within a node, then by kind and target.
 

@@ -27,7 +27,7 @@ def top_k(units: DataFrame, queries: DataFrame, k: int, unit: str = "vec_id", ve
         q = np.array([r[1] for r in block], np.float64)
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best_s, best_u = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+            best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # query, score, unit
             for pdf in it:
                 if not len(pdf):
                     continue
@@ -35,12 +35,16 @@ def top_k(units: DataFrame, queries: DataFrame, k: int, unit: str = "vec_id", ve
                 s = q @ np.stack(pdf[vector].to_numpy()).astype(np.float64).T
                 if exclude_self:
                     s[ids[:, None] == u[None, :]] = -np.inf
-                s, u = np.concatenate((best_s, s), 1), np.concatenate((best_u, np.broadcast_to(u, s.shape)), 1)
-                order = np.lexsort((u, -s), axis=1)[:, :k]
-                best_s, best_u = np.take_along_axis(s, order, 1), np.take_along_axis(u, order, 1)
-            ok = np.isfinite(best_s)
-            row = np.broadcast_to(ids[:, None], best_s.shape)
-            yield pd.DataFrame({"query_id": row[ok], "unit_id": best_u[ok], "score": best_s[ok]})
+                # only scores not below a query's k-th are sorted; that keeps all ties
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(ids), -np.inf)
+                r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                r, x, y = (np.concatenate(p) for p in zip(best, (r, s[r, c], u[c])))
+                order = np.lexsort((y, -x, r))
+                r, x, y = r[order], x[order], y[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                best = r[keep], x[keep], y[keep]
+            r, x, y = best
+            yield pd.DataFrame({"query_id": ids[r], "unit_id": y, "score": x})
 
         return units.where(F.col(vector).isNotNull()).select(unit, vector).mapInPandas(run, "query_id long, unit_id long, score double")
 

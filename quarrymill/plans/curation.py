@@ -151,8 +151,9 @@ def emitted_files(spark, d):
     f = _files(spark, d).select("file", "src", solidity.declared(F.col("src")).alias("d"))
     some = F.filter("d", lambda x: (x["kind"] == "function") & (F.length(x["name"]) % 2 == 0))
     record = F.transform(some, lambda x: F.struct(x["container"].alias("container"), x["signature"].alias("signature"), F.create_map(F.lit("notice"), F.concat(F.lit("Says what "), x["name"], F.lit(" does"))).alias("fields")))
-    e = f.select("file", F.size(some).alias("wanted"), emission.emitted(F.col("src"), record).alias("e"))
-    return e.select("file", "wanted", "e.placed", F.size("e.skipped").alias("skipped"), "e.code_unchanged")
+    e = f.select("file", "src", F.size(some).alias("wanted"), emission.emitted(F.col("src"), record).alias("e"))
+    e = e.withColumn("v", emission.verified(F.col("src"), F.col("e.emitted")))
+    return e.select("file", "wanted", "e.placed", F.size("e.skipped").alias("skipped"), "v.code_unchanged", "v.exposed", "v.documented", F.round("v.completeness", 6).alias("completeness"))
 
 
 @query()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import metrics, text
+from ..functions import comments, metrics, text
 from ..operators import classify, corpus, dedup, matching, retrieval, runs, stats, tables
 from ..session import table
+from .more import FIELDS_SQL
 from .catalogue import _BASE, _CALLS, _OK, _PAIRS, _RUNS, _SCORES, _UNITS, _bootstrap_sql, _paired, bleu_sql, bleu_sums_sql, pairs_, pairs_with_maps, query, r6, runs_, split_words, units_
 
 # No run of the test tables repeats its reference, so each run whose number is divisible by 11 is taken to have said
@@ -54,12 +55,19 @@ def seen_in_training(spark, d):
     return x.withColumn("k", F.trim("notice")).join(train, "k", "left_semi").select("run_id", "config")
 
 
-@query(f"""SELECT config, slice, n, round({bleu_sql(tables.WEIGHTS['ba'])}, 2) AS ba, round({bleu_sql(tables.WEIGHTS['b4'])}, 2) AS b4 FROM ({bleu_sums_sql(_rows("config, 'all' AS slice", "true", _LADDER) + " UNION ALL " + _rows("config, CASE WHEN leaked THEN 'seen' ELSE 'unseen' END", "true", _LADDER), "config, slice")})""")
+_SYSTEMS = f"(SELECT config, 'run' AS system, leaked, notice, said FROM {_LADDER} UNION ALL SELECT config, 'first words', leaked, notice, array_to_string(({split_words('coalesce(said, chr(32))')})[1:6], ' ') FROM {_LADDER})"
+
+
+@query(f"""SELECT config, system, slice, n, round({bleu_sql(tables.WEIGHTS['ba'])}, 2) AS ba, round({bleu_sql(tables.WEIGHTS['b1'])}, 2) AS b1 FROM ({bleu_sums_sql(_rows("config, system, 'all' AS slice", "true", _SYSTEMS) + " UNION ALL " + _rows("config, system, CASE WHEN leaked THEN 'seen' ELSE 'unseen' END", "true", _SYSTEMS), "config, system, slice")})""")
 def seen_unseen_bleu(spark, d):
+    """Runs and a baseline, the first six words of each, over the same rows, by whether training has the reference."""
     train = pairs_(spark, d, "split", "notice").where(corpus.clean_split() == "train").select(F.trim("notice").alias("k")).where("k is not null").distinct().withColumn("leaked", F.lit(True))
     x = _said(spark, d).where("trim(notice) <> ''").withColumn("k", F.trim("notice")).join(train, "k", "left")
     x = x.withColumn("slice", F.explode(F.array(F.lit("all"), F.when(F.col("leaked"), "seen").otherwise("unseen"))))
-    return tables.bleu_table(x, ["config", "slice"], "said", "notice", ("ba", "b4")).drop("empty")
+    words = F.filter(F.split(F.coalesce("said", F.lit("")), r"\s+"), lambda w: w != "")
+    system = lambda name, c: F.struct(F.lit(name).alias("system"), c.alias("hyp"))
+    x = x.withColumn("s", F.explode(F.array(system("run", F.col("said")), system("first words", F.array_join(F.slice(words, 1, 6), " "))))).select("*", "s.*")
+    return tables.bleu_table(x, ["config", "system", "slice"], "hyp", "notice", ("ba", "b1")).drop("empty")
 
 
 _ORDER = ["full", "looped", "draft_only", "no_retrieval"]
@@ -210,6 +218,41 @@ def judge_defects(spark, d):
     return j.groupBy(F.substring_index("x", ":", 1).alias("defect")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# fields ------------------------------------------------------------------------------------------------------------
+
+_GOLD = f"""p AS (SELECT id, notice, dev, params, returns FROM {_PAIRS}),
+gold AS (SELECT id, 'notice' AS key, notice AS want FROM p UNION ALL SELECT id, 'dev', dev FROM p UNION ALL SELECT id, 'param:' || u.k, params[u.k] FROM p, unnest(map_keys(params)) AS u(k)
+ UNION ALL SELECT id, 'return:' || (i - 1), trim(concat_ws(' ', returns[i].name, returns[i].text)) FROM (SELECT id, returns, unnest(range(1, len(returns) + 1)) AS i FROM p))"""
+
+
+def _fields(spark, d):
+    """A row per run and field of its reference: (``run_id``, ``config``, ``has_sigma``, ``kind``, ``cand``, ``want``); a field the comment lacks is empty."""
+    p = pairs_with_maps(spark, d, "notice", "dev", "params", "returns").select(F.col("id").alias("pair_id"), corpus.reference_fields().alias("gold"))
+    r = runs_(spark, d, "config", "pair_id", "error", "final", "has_sigma").where(~runs.failed()).where("final is not null").join(p, "pair_id").withColumn("got", comments.fields(F.col("final")))
+    x = r.select("run_id", "config", "has_sigma", "got", F.explode("gold").alias("key", "want"))
+    return x.select("run_id", "config", "has_sigma", F.substring_index("key", ":", 1).alias("kind"), F.coalesce(F.try_element_at("got", F.col("key")), F.lit("")).alias("cand"), "want")
+
+
+def _macro(x, **metrics_):
+    """Means over records of each record's means by kind; ``n`` counts the fields."""
+    per = x.groupBy("config", "run_id", "kind").agg(F.count(F.lit(1)).alias("k"), *(F.avg(m).alias(c) for c, m in metrics_.items()))
+    return per.groupBy("config", "kind").agg(F.sum("k").alias("n"), *(r6(F.avg(c), c) for c in metrics_))
+
+
+@query(f"""WITH {FIELDS_SQL}, {_GOLD}, j AS (SELECT c.run_id, c.config, split_part(g.key, ':', 1) AS kind, coalesce(f.body, '') AS cand, g.want FROM c JOIN gold g ON g.id = c.pair_id LEFT JOIN fields f ON f.run_id = c.run_id AND f.key = g.key WHERE trim(coalesce(g.want, '')) <> ''),
+t AS (SELECT *, {_TOKENS.format(x='cand')} AS c, {_TOKENS.format(x='want')} AS r FROM j), m AS (SELECT config, run_id, kind, count(*) AS k, avg({sentence_bleu_sql('c', 'r')}) AS bleu, avg(CAST(c = r AS INT)) AS exact, avg(CAST(trim(cand) <> '' AS INT)) AS coverage FROM t GROUP BY ALL)
+SELECT config, kind, CAST(sum(k) AS BIGINT) AS n, round(avg(bleu), 6) AS bleu, round(avg(exact), 6) AS exact, round(avg(coverage), 6) AS coverage FROM m GROUP BY ALL""")
+def field_means(spark, d):
+    c, w = F.col("cand"), F.col("want")
+    return _macro(_fields(spark, d), bleu=metrics.sentence_bleu(c, w), exact=text.same_tokens(c, w).cast("int"), coverage=(F.trim("cand") != "").cast("int"))
+
+
+@query()
+def field_rouge(spark, d):
+    c, w = F.col("cand"), F.col("want")
+    return _macro(_fields(spark, d), rouge_l=metrics.rouge_l(c, w), meteor=metrics.meteor(c, w))
+
+
 # matching -----------------------------------------------------------------------------------------------------------
 
 # Half of the units are changed by a hash of their id before they are looked up: one statement more, three more, or the

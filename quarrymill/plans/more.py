@@ -170,18 +170,6 @@ def split_effect(spark, d):
 
 
 
-@query()
-def field_means(spark, d):
-    p = dedup.newest(table(spark, d, "pairs"), "id", "written_at", "notice", "dev", "params", "returns").withColumnRenamed("id", "pair_id")
-    ref = p.select("pair_id", F.explode(corpus.reference_fields()).alias("field", "want"))
-    r = runs_(spark, d, "pair_id", "config", "error", "final").where(~runs.failed()).join(ref, "pair_id")
-    s = r.select("config", "run_id", F.substring_index("field", ":", 1).alias("kind"), metrics.rouge_l(F.col("final"), F.col("want")).alias("score"))
-    per = s.groupBy("config", "run_id", "kind").agg(F.avg("score").alias("m"), F.count(F.lit(1)).alias("k"))
-    return per.groupBy("config", "kind").agg(r6(F.avg("m"), "mean"), F.sum("k").alias("fields"))
-
-
-
-
 # samples, top-k, tables beside the corpus --------------------------------------------------------------
 
 
@@ -251,7 +239,15 @@ def document_census(spark, d):
 # comments as data --------------------------------------------------------------------------------------
 
 
-@query()
+#: Fields of runs' comments: (run_id, config, pair_id, key, body).
+FIELDS_SQL = f"""c AS (SELECT run_id, config, pair_id, regexp_replace(replace(replace(final, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[ \\t]*(?:/\\*\\*?|\\*/|\\*|///?)?[ \\t]*|[ \\t]*\\*/[ \\t]*$', '', 'g') AS t FROM {_RUNS} WHERE {_OK} AND final IS NOT NULL),
+s AS (SELECT run_id, config, pair_id, unnest(string_split(chr(10) || t, chr(10) || '@')) AS x, generate_subscripts(string_split(chr(10) || t, chr(10) || '@'), 1) AS i FROM c),
+f AS (SELECT run_id, config, pair_id, i, CASE WHEN i = 1 THEN 'notice' ELSE replace(regexp_extract(x, '^[A-Za-z][\\w:-]*'), 'returns', 'return') END AS tag, trim(regexp_replace(CASE WHEN i = 1 THEN x ELSE regexp_replace(x, '^[A-Za-z][\\w:-]*', '') END, '\\s+', ' ', 'g')) AS body FROM s),
+k AS (SELECT run_id, config, pair_id, i, CASE WHEN tag = 'param' THEN 'param:' || regexp_extract(body, '^\\S+') WHEN tag = 'return' THEN 'return:' || (row_number() OVER (PARTITION BY run_id, tag ORDER BY i) - 1) ELSE tag END AS key, CASE WHEN tag = 'param' THEN trim(regexp_replace(body, '^\\S+', '')) ELSE body END AS body FROM f),
+fields AS (SELECT run_id, config, pair_id, key, string_agg(body, ' ' ORDER BY i) AS body FROM k WHERE body <> '' GROUP BY ALL)"""
+
+
+@query(f"WITH {FIELDS_SQL} SELECT config, split_part(key, ':', 1) AS kind, count(*) AS n, count(DISTINCT run_id) AS runs FROM fields GROUP BY ALL")
 def hypothesis_fields(spark, d):
     r = runs_(spark, d, "config", "error", "final").where(~runs.failed())
     f = r.select("config", "run_id", F.explode(comments.fields(F.col("final"))).alias("field", "text"))

@@ -134,3 +134,9 @@ def test_guards_and_offsets():
     o = solidity.Offsets(text)
     assert [o.to_byte(i) for i in range(7)] == [0, 1, 3, 6, 10, 11, 11] and [o.to_char(b) for b in (0, 1, 2, 3, 5, 10, 99)] == [0, 1, 1, 2, 2, 4, 5]
     assert solidity.Offsets("ascii").to_char(3) == 3
+
+
+def test_verify():
+    src = "contract C { /// @notice Does it all\n function f() public {} function g() external; event E(uint a); }"
+    assert em.verify(src, src) == {"code_unchanged": True, "exposed": 3, "documented": 1, "completeness": 1 / 3}
+    assert em.verify(src, src.replace("g()", "h()"))["code_unchanged"] is False and em.verify("", "")["completeness"] is None

@@ -354,3 +354,26 @@ def test_comments_as_data():
     assert comments.recover_json("none") is None and comments.recover_json('{"a": ') is None
     src = "contract C { /// @notice Doc of f here\n function f() public {} function g() external; function h() internal {} constructor() {} }"
     assert comments.exposed_members(src) == [("function", "f()", True), ("function", "g()", False), ("constructor", "constructor", False)]
+
+
+@pytest.mark.parametrize(
+    "doc, name, want",
+    [
+        ("Moves the whole balance out", "move", False), ("<describe what it does here>", "f", True), ("[your text goes in here]", "f", True), ("{{ summary of f }} ...", "f", True), ("Fee: ____ ____ ____", "f", True),
+        ("Adds to `balances[msg.sender]` only", "f", False), ("The fee [in wei] of a move", "f", False), ("set max fee", "setMaxFee", True), ("TODO write this down", "f", True), ("two words", "f", True),
+    ],
+)
+def test_trivial(doc, name, want):
+    assert solidity.is_trivial(doc, name) is want
+
+
+def test_top_k_keeps_ties(spark):
+    rng = random.Random(5)
+    data = [(i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(60)] + [(99, None)]
+    u = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in retrieval.top_k(u, u.where("vec_id % 7 = 0"), 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["unit_id"])
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    v = {i: x for i, x in data if x}
+    assert got == {q: sorted((i for i in v if i != q), key=lambda i: (-dot(v[q], v[i]), i))[:6] for q in v if q % 7 == 0}

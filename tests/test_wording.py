@@ -146,3 +146,11 @@ def test_vendor(spark):
     vendored = spark.createDataFrame([("t6/x.sol",), ("t8/x.sol",), ("t6/y.sol",), ("t/oz/x.sol",), ("o/f.sol",)], "file string")
     got = {r["spec"]: (r["target"], r["tree"]) for r in units.with_vendor(wanted, files, trees, vendored).collect()}
     assert got == {"./b": ("b", None), "@oz/x.sol": ("t8/x.sol", "v8"), "@oz/y.sol": ("t6/y.sol", "v6"), "a_b/f.sol": (None, None), "@no/z": (None, None)}
+
+
+def test_declared_facts(spark):
+    w = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    d = F.struct(F.lit("constructor").alias("kind"), F.lit(None).cast("string").alias("visibility"), F.lit("payable").alias("mutability"), w("uint256 x").alias("params"), w().alias("returns"))
+    got = [tuple(r) for r in one(spark, facts.fact_rows(d, w("onlyOwner"), w("b", "a", "b"), F.lit(None).cast("array<string>")))]
+    assert got == [("F1", "kind", "constructor"), ("F2", "visibility", "internal"), ("F3", "mutability", "payable"), ("F4", "parameter", "uint256 x"), ("F5", "modifier", "onlyOwner"), ("F6", "state_read", "a, b"), ("F7", "role", "constructor")]
+    assert one(spark, facts.fact_rows(d, w(), w(), w()))[-1]["text"] == "touches no state"
