@@ -402,6 +402,16 @@ def test_hot_keys_are_split(spark, monkeypatch):
     assert rows(wordsets.meet(left, right, "k", "b")) == rows(left.join(right, "k"))
 
 
+def test_hot_words_are_split(spark):
+    rng = random.Random(12)
+    sets = [(i, sorted(rng.sample(range(30), 12))) for i in range(80)]
+    df = spark.createDataFrame(sets, "class long, words array<long>")
+    ev, train = df.where("class < 30"), df.where("class >= 30")
+    want = [(a, b) for a, x in sets[:30] for b, y in sets[30:] if like(set(x), set(y)) >= 0.5]
+    for key_rows in (2, 4096):
+        assert rows(split_overlap.similar(ev, train, 0.5, key_rows).select("e", "t")) == want and len(want) > 20
+
+
 def test_groups_do_not_hang_on_partitions(spark):
     units = spark.read.parquet("/root/testdata/sf0.01/retrieval_units.parquet")
     want = rows(near_dups.groups(units))
