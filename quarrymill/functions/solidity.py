@@ -237,7 +237,8 @@ def description(found: list[tuple[str, str]]) -> str:
 # fixed values: how a place for text to be written announces itself
 _PLACEHOLDER = re.compile(
     r"""^\W*(?:
-        (?:todo|fixme|xxx|tbd|tba|tbc|wip|placeholder|lorem\s+ipsum|n/?a|undocumented|missing|unfinished|stub)\b
+        (?:todo|fixme|xxx|tbd|tba|tbc|wip|placeholder|lorem\s+ipsum|n/?a|undocumented|unfinished|stub)\b
+      | missing(?:\W*$|\W+(?:docs?|documentation|descriptions?|comments?|natspec|text|summary|notice)\b)
       | \?\?\?
       | (?:add|write|insert|put|fill\s+in|complete|provide|enter)\s+(?:\w+\s+){0,3}?(?:docs?|documentation|description|comment|comments|text|natspec|notice|summary)\b(?:\s+\w+){0,3}\W*$
       | (?:\w+\s+){0,3}?(?:docs?|documentation|description|comments?|natspec|explanation|details?|text|summary)\s+(?:\w+\s+){0,2}?(?:here|later|soon|pending|needed|missing|required|follows?|coming|goes)\b(?:\s+\w+){0,3}\W*$
@@ -250,6 +251,31 @@ _PLACEHOLDER = re.compile(
 )
 
 
+# What a text about documentation names, and what says that it is still to come, surely or perhaps.
+_ABOUT = frozenset("doc docs documentation description comment comments natspec notice summary explanation text words content details describe described explain explained document documented".split())
+_TO_COME = frozenset("todo tbd fixme please later soon yet pending awaiting await placeholder construction remember unfinished stub coming".split())
+_MAYBE = frozenset("no missing need needs needed required fill insert replace follow follows write written goes".split())
+_ORDER = re.compile(
+    r"""^\W*(?:
+        (?:describe|explain|document)\s+(?:\w+\s+){0,2}?(?:this|me|it|function|method|here|what)\b
+      | (?:yet|still)\s+to\s+be\s+(?:written|documented|described|filled|added|explained)\b
+      | (?:coming\s+soon|under\s+construction|work\s+in\s+progress)\b
+      | replace\s+(?:me|this|with)\b
+      | (?:this|the)\s+\w+\s+(?:has|have)\s+no\s+(?:\w+\s+)?(?:docs?|documentation|description|comments?)\b
+      )""",
+    re.X | re.I,
+)
+
+
+def _awaits_text(text: str, words: list[str]) -> bool:
+    """Whether a short text without names of code speaks of the documentation that is still to be written."""
+    if len(words) > 12 or "`" in text or any(w[1:].lower() != w[1:] for w in words if not w.isupper()):
+        return False
+    said = [w.lower() for w in words]
+    about, sure, maybe = (sum(w in group for w in said) for group in (_ABOUT, _TO_COME, _MAYBE))
+    return bool(_ORDER.match(text)) or about > 0 and (sure > 0 or about + maybe > 2 and maybe > 0)
+
+
 # what stands in brackets, or for an omission, where text should be
 _SLOT = re.compile(r"(?<![\w`)\]])(?:<[^<>`]*>|\[[^\[\]`]*\]|\{+[^{}`]*\}+)|_{2,}|\.{3,}|…")
 
@@ -259,7 +285,7 @@ def is_trivial(text: str, name: str) -> bool:
     words = _WORD.findall(text)
     if len(words) <= 2 or len(_WORD.findall(_SLOT.sub(" ", text))) <= 2:
         return True
-    if _PLACEHOLDER.match(text):
+    if _PLACEHOLDER.match(text) or _awaits_text(text, words):
         return True
     said = "".join(words).lower()
     return bool(name) and said in {name.replace("_", "").replace("$", "").lower()}

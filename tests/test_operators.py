@@ -377,3 +377,35 @@ def test_top_k_keeps_ties(spark):
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     v = {i: x for i, x in data if x}
     assert got == {q: sorted((i for i in v if i != q), key=lambda i: (-dot(v[q], v[i]), i))[:6] for q in v if q % 7 == 0}
+
+
+# written after the rules, and not used for them
+UNSEEN_PLACEHOLDERS = """Somebody has to write this up later
+Left blank on purpose for the docs team
+Docs pending review by the maintainers
+More text needed here before we ship
+Your comment goes here, thank you
+Please do not forget to describe the return value
+Still to be explained in detail
+Insert explanation when known
+Lorem ipsum dolor sit amet
+Nothing to see in this comment yet
+Description unavailable at the moment
+Under construction until the next release""".splitlines()
+DESCRIPTIONS = """Adds a description to the item
+Writes the summary of the day to the log
+Provides text for the renderer
+Missing entries are skipped
+Returns the notice period in days
+Inserts a comment below the post
+To be called by the keeper only
+Needs the approval of the owner
+Will be announced by the oracle each hour
+Not documented slots are free to use
+Fills in the missing price of the asset
+Completes the withdrawal of the caller""".splitlines()
+
+
+def test_placeholders_in_unseen_words():
+    assert sum(solidity.is_trivial(x, "f") for x in UNSEEN_PLACEHOLDERS) >= 7  # of 12
+    assert not any(solidity.is_trivial(x, "f") for x in DESCRIPTIONS)
