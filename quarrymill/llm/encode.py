@@ -18,7 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lookalike import blocks
@@ -40,13 +40,20 @@ def _blank_table() -> np.ndarray:
     return t
 
 
-@cache
-def encoder(path: str):
+_ENCODERS: dict[str, object] = {}
+
+
+def encoder(path: str, raw: bytes | None = None):
+    """The tokenizer of a vocabulary file, made once per process; ``raw`` is the file's content where the file itself may be elsewhere."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    if path not in _ENCODERS:
+        if raw is None:
+            with open(path, "rb") as f:
+                raw = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+        _ENCODERS[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODERS[path]
 
 
 @cache
@@ -150,11 +157,16 @@ def token_ids(text, vocabulary: str = VOCABULARY):
     """Column of the texts' token ids without special tokens.
 
     The strings of special tokens are ordinary text. Null, and the empty text, give an empty list. Texts of
-    any length are encoded whole. Repeated texts are encoded once per Python worker.
+    any length are encoded whole. Repeated texts are encoded once per Python worker. The vocabulary is read
+    where the session is and broadcast (about a megabyte, whatever the corpus), so executors need no copy.
     """
+    with open(vocabulary, "rb") as f:
+        content = SparkSession.active().sparkContext.broadcast(f.read())
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if vocabulary not in _ENCODERS:
+            encoder(vocabulary, content.value)
         coder = ChunkEncoder(vocabulary)
         for col in batches:
             yield coder.encode_array(col)
