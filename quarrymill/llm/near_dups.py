@@ -118,16 +118,20 @@ def found(units: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def groups(units: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """One row per unit and text: ``class`` and ``group``, each named by the least ``pair_id`` in it, and ``links``, the number of similar classes.
+    """One row per unit: ``class`` and ``group``, each named by the least ``pair_id`` in it, and ``links``, the number of similar classes.
 
-    Units of one class have the same words; a group is what is alike, also through others. Names and links
-    hang on the units alone, not on how they lie in partitions.
+    Units of one class have the same words; a group is what is alike, also through others. A unit repeated
+    with another text holds its texts together in one group; its class is the one with the least name, its
+    links are those of all its texts. Names and links hang on the units alone, not on how they lie in
+    partitions.
     """
     members, classes = classed(units)
     pairs = cut(similar_classes(classes, threshold).select("a", "b"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    comp = components(pairs).select(F.col("node").alias("class"), "component")
+    least = members.groupBy("pair_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("pair_id", "a")
+    same_unit = members.join(least, "pair_id").where("class > a").select("a", F.col("class").alias("b"))
+    comp = components(pairs.unionByName(same_unit)).select(F.col("node").alias("class"), "component")
     named = members.groupBy("class").agg(F.min("pair_id").alias("name")).join(links, "class", "left").join(comp, "class", "left").withColumn("component", F.coalesce("component", "class"))
     group = named.groupBy("component").agg(F.min("name").alias("group"))
     named = named.join(group, "component").select("class", "name", "group", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(named, "class").select("pair_id", F.col("name").alias("class"), "group", "links")
+    return members.join(named, "class").groupBy("pair_id").agg(F.min("name").alias("class"), F.min("group").alias("group"), F.sum("links").alias("links"))

@@ -77,9 +77,9 @@ SELECT DISTINCT least(a.id, b.id) AS pair_id_a, greatest(a.id, b.id) AS pair_id_
         "p4_groups": f"""WITH RECURSIVE {_alike(_UNIT_TEXTS)},
 s AS (SELECT k, list_sort(list(w)) AS words FROM w GROUP BY k),
 cl AS (SELECT words, min(id) AS class FROM s JOIN t USING (k) GROUP BY words), u AS (SELECT DISTINCT id, class FROM s JOIN t USING (k) JOIN cl USING (words)), kc AS (SELECT k, class FROM s JOIN cl USING (words)),
-l AS (SELECT DISTINCT x.class AS p, y.class AS q FROM likes JOIN kc x ON x.k = i JOIN kc y ON y.k = j WHERE x.class <> y.class), ll AS (SELECT p, q FROM l UNION SELECT q, p FROM l),
-r(p, q) AS (SELECT class, class FROM cl UNION SELECT r.p, ll.q FROM r JOIN ll ON r.q = ll.p), g AS (SELECT p AS class, min(q) AS "group" FROM r GROUP BY p)
-SELECT id AS pair_id, u.class, "group", CAST((SELECT count(*) FROM ll WHERE ll.p = u.class) AS BIGINT) AS links FROM u JOIN g USING (class)""",
+l AS (SELECT DISTINCT x.class AS p, y.class AS q FROM likes JOIN kc x ON x.k = i JOIN kc y ON y.k = j WHERE x.class <> y.class), ll AS (SELECT p, q FROM l UNION SELECT q, p FROM l), tie AS (SELECT p, q FROM ll UNION SELECT a.class, b.class FROM u a JOIN u b USING (id) WHERE a.class <> b.class),
+r(p, q) AS (SELECT class, class FROM cl UNION SELECT r.p, tie.q FROM r JOIN tie ON r.q = tie.p), g AS (SELECT p AS class, min(q) AS "group" FROM r GROUP BY p)
+SELECT id AS pair_id, min(u.class) AS class, min("group") AS "group", CAST(sum((SELECT count(*) FROM ll WHERE ll.p = u.class)) AS BIGINT) AS links FROM u JOIN g USING (class) GROUP BY id""",
         "p5_found": f"""WITH {_OVERLAPS} SELECT least(a_id, b_id) AS id_a, greatest(a_id, b_id) AS id_b FROM o""",
         "p5_report": f"""WITH {_OVERLAPS},
 v AS (SELECT a_id AS id, a_split AS split, a_project AS project, likeness FROM o WHERE a_split <> 'train' UNION ALL SELECT b_id, b_split, b_project, likeness FROM o WHERE b_split <> 'train')

@@ -402,6 +402,12 @@ def test_hot_keys_are_split(spark, monkeypatch):
     assert rows(wordsets.meet(left, right, "k", "b")) == rows(left.join(right, "k"))
 
 
+def test_units_with_several_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    df = spark.createDataFrame([("u", one, None), ("u", two, None), ("u", two, None), ("v", one + " x", ""), ("w", two, None), ("t", "alone here", None)], "pair_id string, code string, natspec string")
+    assert rows(near_dups.groups(df)) == [("t", "t", "t", 0), ("u", "u", "u", 1), ("v", "v", "u", 1), ("w", "u", "u", 0)]
+
+
 def test_hot_words_are_split(spark):
     rng = random.Random(12)
     sets = [(i, sorted(rng.sample(range(30), 12))) for i in range(80)]
