@@ -19,6 +19,11 @@ PROSE_PUNCTUATION = r"""([`.,;:!?()\[\]{}"']|--+)"""
 SUFFIXES = "ization iveness fulness ousness ation ments ingly edly ment ness ions ing ies ed es ly s".split()
 
 
+def visible(c: Column) -> Column:
+    """Whether a text has anything but blanks, of whatever kind; null has nothing."""
+    return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+
+
 def norm_prose(c: Column) -> Column:
     """Lower case, runs of blanks as one, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))

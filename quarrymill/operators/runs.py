@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import visible
 from .dedup import latest
 
 
@@ -18,7 +19,7 @@ def failed() -> Column:
 
 def eligible() -> Column:
     """No error, verdict not FAIL, a comment that is not blank; null verdicts pass."""
-    return ~failed() & (F.coalesce(F.col("gate_verdict"), F.lit("")) != "FAIL") & (F.trim(F.coalesce("final", F.lit(""))) != "")
+    return ~failed() & (F.coalesce(F.col("gate_verdict"), F.lit("")) != "FAIL") & visible(F.col("final"))
 
 
 def prediction() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..functions.text import visible
 
 #: Weights of the orders of BLEU by the names under which they are reported.
 WEIGHTS = {
@@ -31,8 +32,8 @@ def weighted_bleu(weights: tuple[float, ...]) -> Column:
 
 def bleu_table(df: DataFrame, by: list[str], cand: str, ref: str, names: tuple[str, ...] = ("ba",)) -> DataFrame:
     """Per group: ``n``, ``empty`` candidates, which stay and score nothing, and BLEU by the named weights. Rows with a blank reference do not count."""
-    some = df.where(F.trim(F.coalesce(ref, F.lit(""))) != "").select(*by, F.coalesce(cand, F.lit("")).alias("c"), F.col(ref).alias("r"))
-    g = some.select(*by, "c", metrics.bleu_counts(F.col("c"), F.col("r")).alias("b")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.trim("c") == "").alias("empty"), *bleu_sums())
+    some = df.where(visible(F.col(ref))).select(*by, F.coalesce(cand, F.lit("")).alias("c"), F.col(ref).alias("r"))
+    g = some.select(*by, "c", metrics.bleu_counts(F.col("c"), F.col("r")).alias("b")).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(~visible(F.col("c"))).alias("empty"), *bleu_sums())
     return g.select(*by, "n", "empty", *(F.round(weighted_bleu(WEIGHTS[k]), 2).alias(k) for k in names))
 
 

@@ -222,10 +222,10 @@ def bleu_sql(weights) -> str:
 
 
 def split_words(c: str) -> str:
-    return f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')"
+    return f"list_filter(regexp_split_to_array({c}, '[\\s\\p{{Z}}]+'), lambda x: x <> '')"
 
 
-_FINAL_DRAFT = f"SELECT config, {split_words('final')} AS c, {split_words('draft')} AS r FROM {_RUNS} WHERE {_OK} AND final IS NOT NULL AND trim(draft) <> ''"
+_FINAL_DRAFT = f"SELECT config, {split_words('final')} AS c, {split_words('draft')} AS r FROM {_RUNS} WHERE {_OK} AND final IS NOT NULL AND regexp_matches(draft, '[^\\s\\p{{Z}}]')"
 
 
 @query(f"SELECT config, n, empty, {', '.join(f'round({bleu_sql(w)}, 2) AS {k}' for k, w in tables.WEIGHTS.items())} FROM ({bleu_sums_sql(_FINAL_DRAFT, 'config')})")
@@ -291,7 +291,7 @@ def run_progress(spark, d):
     return p.withColumn("seconds", F.round("seconds", 4))
 
 
-@query(f"SELECT run_id, config, coalesce(CASE WHEN final <> '' THEN final END, draft) AS prediction FROM {_RUNS} WHERE {_OK} AND coalesce(gate_verdict, '') <> 'FAIL' AND trim(coalesce(final, '')) <> ''")
+@query(f"SELECT run_id, config, coalesce(CASE WHEN final <> '' THEN final END, draft) AS prediction FROM {_RUNS} WHERE {_OK} AND coalesce(gate_verdict, '') <> 'FAIL' AND regexp_matches(coalesce(final, ''), '[^\\s\\p{{Z}}]')")
 def eligible_predictions(spark, d):
     r = runs_(spark, d, "config", "error", "gate_verdict", "final", "draft").where(runs.eligible())
     return r.select("run_id", "config", runs.prediction().alias("prediction"))
