@@ -45,15 +45,22 @@ def found(units: DataFrame, pairs: DataFrame) -> DataFrame:
 
     ``units`` needs ``pair_id``, ``project``, ``group_id``; ``pairs`` needs ``id``, ``split``,
     ``written_at``, of whose deliveries the latest is valid. Blanks and case of a split do not count, nor
-    do null and other values; units without a pair have none. Repeated units change nothing.
+    do null and other values; units without a pair have none. Repeated units change nothing. A unit without a
+    project counts for the projects of its group.
     """
     ties = cut(tied_projects(units))
     split = latest(pairs, "split").select(F.col("id").alias("pair_id"), clean_split(F.col("split")).alias("split")).where(F.col("split").isin(*SPLITS))
-    one = units.select("pair_id", "project").distinct().join(split, "pair_id").join(ties, "project").select("component", F.array("split").alias("labels"))
+    alone = units.where("project is null and group_id is not null").select("pair_id", "group_id").distinct().join(_of_groups(units, ties), "group_id").select("pair_id", "component")
+    one = units.select("pair_id", "project").distinct().join(ties, "project").select("pair_id", "component").unionByName(alone).join(split, "pair_id").select("component", F.array("split").alias("labels"))
     mixed = label_vectors(one).where(F.size("v") > 2).select("component")  # two splits or more beside all records
     return ties.join(mixed, "component", "left_semi").select("project")
 
 
+def _of_groups(units: DataFrame, ties: DataFrame) -> DataFrame:
+    """(``group_id``, ``component``) of the groups that projects have."""
+    return units.where("project is not null and group_id is not null").select("project", "group_id").distinct().join(ties, "project").groupBy("group_id").agg(F.min("component").alias("component"))
+
+
 def label_vectors(one: DataFrame) -> DataFrame:
     """``component``, its label vector ``v`` (label -> records; ``_ALL`` counts them all) and ``n``, of rows with ``component`` and ``labels``."""
     counts = one.select("component", F.explode(F.concat("labels", F.array(F.lit(_ALL)))).alias("label")).groupBy("component", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -82,8 +89,7 @@ def labelled(units: DataFrame, labels: Column | None = None) -> DataFrame:
     one = units.where("pair_id is not null").groupBy("pair_id").agg(newest).select("pair_id", "r.project", "r.group_id", "r.labels")
     ties = cut(tied_projects(units))
     named = one.where("project is not null").join(ties, "project")
-    of_group = units.where("project is not null and group_id is not null").select("project", "group_id").distinct().join(ties, "project").groupBy("group_id").agg(F.min("component").alias("tied"))
-    alone = one.where("project is null").join(of_group, "group_id", "left")
+    alone = one.where("project is null").join(_of_groups(units, ties).withColumnRenamed("component", "tied"), "group_id", "left")
     own = F.coalesce("tied", F.concat(F.lit("group:"), "group_id"), F.concat(F.lit("pair:"), F.col("pair_id").cast("string")))
     return named.unionByName(alone.withColumn("component", own).drop("tied")).select("pair_id", "project", "component", "labels")
 

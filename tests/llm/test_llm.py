@@ -323,6 +323,14 @@ def test_mixed_projects(spark):
     assert rows(grouped_split.found(units, df)) == sorted((p,) for p in comp if len(has[comp[p]]) > 1)
 
 
+def test_mixed_by_units_without_project(spark):
+    at = datetime(2031, 1, 1)
+    units = spark.createDataFrame([("a", "p", "g"), ("b", None, "g"), ("c", "q", "h"), ("d", None, "z"), ("e", None, None), (None, "q", "h")], "pair_id string, project string, group_id string")
+    pairs = spark.createDataFrame([("a", "train", at), ("b", "Test ", at), ("c", "val", at), ("d", "train", at), ("e", "test", at), (None, "test", at)], "id string, split string, written_at timestamp")
+    assert rows(grouped_split.found(units, pairs)) == [("p",)]
+    assert rows(grouped_split.found(units.limit(0), pairs)) == [] == rows(grouped_split.found(units, pairs.limit(0)))
+
+
 # 4 and 5 -----------------------------------------------------------------------------------------------
 
 
