@@ -81,8 +81,9 @@ def classed(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     A class is a distinct word set. It is numbered once the table of classes is written, so its number is
     short and stays while a query runs; results never show it. Members of repeated units appear once.
     """
-    base = units.where("pair_id is not null").select("pair_id", word_set(joined("code", "natspec")).alias("words")).where(F.size("words") > 0)
-    base = cut(base.select("pair_id", "words", set_key(F.col("words")).alias("set")))
+    base = units.where("pair_id is not null").select("pair_id", word_set(joined("code", "natspec")).alias("words"))
+    # a filter on the words before the cut would be pushed below them and make them twice
+    base = cut(base.select("pair_id", "words", set_key(F.col("words")).alias("set"))).where(F.size("words") > 0)
     classes = base.groupBy("set").agg(F.first("words").alias("words")).withColumn("class", F.monotonically_increasing_id())
     classes = cut(classes.select("set", "class", "words", F.size("words").alias("n"), band_keys(F.col("words")).alias("keys")))
     members = cut(base.select("pair_id", "set").distinct().join(classes.select("set", "class"), "set").select("pair_id", "class"))
