@@ -82,8 +82,10 @@ def similar(evals: DataFrame, train: DataFrame, threshold: float = 0.75, key_row
 
 def _overlaps(pairs: DataFrame, threshold: float) -> DataFrame:
     """(eval id, its split and project, train id, likeness) of every overlap."""
-    valid = latest(pairs, "split", "project", "notice", "dev").select("id", "project", clean_split(F.col("split")).alias("split"), word_set(joined("notice", "dev")).alias("words"))
-    valid = cut(valid.where("split in ('train', 'val', 'test')").where(F.size("words") > 0).withColumn("class", set_key(F.col("words"))))
+    valid = latest(pairs, "split", "project", "notice", "dev").select("id", "project", clean_split(F.col("split")).alias("split"), "notice", "dev").where("split in ('train', 'val', 'test')")
+    valid = valid.select("id", "project", "split", word_set(joined("notice", "dev")).alias("words"))
+    # a filter on the words before the cut would be pushed below them and make them twice
+    valid = cut(valid.withColumn("class", set_key(F.col("words")))).where(F.size("words") > 0)
     classes = lambda d: d.groupBy("class").agg(F.first("words").alias("words"))
     evals, train = valid.where("split <> 'train'"), valid.where("split = 'train'")
     got = similar(classes(evals), classes(train), threshold)
