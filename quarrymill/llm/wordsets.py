@@ -47,6 +47,8 @@ def meet(left: DataFrame, right: DataFrame, key: str, row: str, key_rows: int =
     ``right`` rows are counted by cells of the key's hash. Those of a hot cell are dealt by ``row``, a column
     of theirs, to parts of about ``key_rows``, and ``left`` rows of the cell go to each part: every two rows
     of a key still meet, once, but no task gets them all. Both sides are read twice, so they should be cut.
+    Neither is broadcast: of exploded rows Spark's guess of the size is far too low, and they pass through
+    the driver.
     """
     cell = F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
     cells = right.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
@@ -55,10 +57,10 @@ def meet(left: DataFrame, right: DataFrame, key: str, row: str, key_rows: int =
         mean = sum(r["n"] for r in hot) / CELLS
         hot = [r for r in hot if r["n"] > FULLER * mean]
     if not hot:
-        return left.join(right, key)
+        return left.join(right.hint("merge"), key)
     spark = left.sparkSession
     parts = F.broadcast(spark.createDataFrame([(r["cell"], -(-r["n"] // key_rows)) for r in hot], "cell int, parts int"))
     many = F.coalesce("parts", F.lit(1))
     right = right.withColumn("cell", cell).join(parts, "cell", "left").withColumn("part", F.pmod(F.xxhash64(row, F.lit("part")), many).cast("int")).drop("cell", "parts")
     left = left.withColumn("cell", cell).join(parts, "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("cell", "parts")
-    return left.join(right, [key, "part"]).drop("part")
+    return left.join(right.hint("merge"), [key, "part"]).drop("part")

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrymill.llm import doc_pairs, encode, grouped_split, leakage, lookalike, near_dups, queries, reply_defects, split_overlap, wordsets
+from quarrymill.session import cut
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile("[a-z0-9_]+")
@@ -453,6 +454,48 @@ def test_recall_at_the_threshold(spark):
     assert len(want) > 550 and set(got) >= set(want)
 
 
+def test_rows_are_not_broadcast(spark):
+    """Spark guesses exploded rows far too small; what it broadcasts goes through the driver."""
+    units = spark.read.parquet("/root/testdata/sf0.01/retrieval_units.parquet")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    df = near_dups.found(units)
+    assert df.count() > 50 and "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    sides = (cut(spark.range(1000).select(F.explode(F.sequence(F.lit(0), F.lit(50))).alias("k"), F.col("id").alias(x))) for x in "ab")
+    assert "Broadcast" not in wordsets.meet(*sides, "k", "b", 10**6)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_common_words_propose_no_pairs(spark):
+    """All texts share 20 words, which is a likeness of 1/3: only what is alike may reach the verification."""
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(20)]
+    data = [(f"u{i:04}", " ".join(common + [f"r{rng.randrange(10**6)}" for _ in range(20)]), None) for i in range(2000)]
+    data += [(f"v{i:04}", data[i][1] + f" x{i}", None) for i in range(50)]
+    _, classes = near_dups.classed(spark.createDataFrame(data, "pair_id string, code string, natspec string"))
+    with pytest.MonkeyPatch.context() as m:
+        proposed = []
+        m.setattr(near_dups, "with_sets", lambda pairs, *x: proposed.append(pairs.count()) or wordsets.with_sets(pairs, *x))
+        assert near_dups.similar_classes(classes).count() == 50
+    assert proposed[0] <= 55
+
+
+@given(st.lists(st.lists(st.integers(-(1 << 63), (1 << 63) - 1), unique=True, max_size=90), min_size=2, max_size=2))
+@settings(max_examples=100, deadline=None)
+def test_folded_sets_differ_by_no_more_than_sets(sets):
+    fold = near_dups.fold(pa.array([*sets, None], pa.list_(pa.int64()))).to_pylist()
+    assert ((fold[0] ^ fold[1]) & ((1 << 64) - 1)).bit_count() <= len(set(sets[0]) ^ set(sets[1])) and fold[2] == 0
+
+
+def test_pairs_at_every_threshold(spark):
+    rng = random.Random(13)
+    sets = [sorted({f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.randrange(1, 12))}) for _ in range(150)]
+    sets += [sorted({*rng.choice(sets), *rng.sample([f"w{i}" for i in range(400)], rng.randrange(3))}) for _ in range(150)]
+    data = [(f"u{i:03}", " ".join(x), None) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(data, "pair_id string, code string, natspec string")
+    for threshold in (0.5, 0.75, 0.9, 1.0):
+        want = [(a[0], b[0]) for i, a in enumerate(data) for b in data[i + 1 :] if like(words(a[1]), words(b[1])) >= threshold]
+        assert rows(near_dups.found(df, threshold)) == want and want
+
+
 # 6 -----------------------------------------------------------------------------------------------------
 
 ALPHABET = " \n\t\r 　\x1c\x85ab1.,'sé́中🧪!\"<|endoftext|>"
