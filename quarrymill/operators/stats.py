@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import draws
 from ..session import cut
 
+#: Fixed sizes: differences in a packed row, differences that a task holds (a multiple of the former), resamples that it adds up.
+PACK, HELD, TURN = 1 << 16, 1 << 22, 25
+
 
 def paired(scores: DataFrame, baseline: str, config: str = "config", unit: str = "pair_id", score: str = "score") -> DataFrame:
     """(config, unit, x, y): each configuration's score beside the baseline's, on the units both have. Nulls do not pair."""
@@ -98,21 +105,53 @@ def paired_bootstrap(pairs: DataFrame, resamples: int = 2000, seed: int = 7, con
 
     Each resample draws n of the n units with replacement; draw j of resample r takes the unit at place
     ``md5(seed:r:j) mod n`` in the order of units, so results hang on the data and the seed alone. The bounds
-    are the resampled means at positions alpha / 2 R and (1 - alpha / 2) R. Draws are joined with the units by
-    place and added up per resample, each partly before the shuffle, so no configuration is gathered in a task.
+    are the resampled means at positions alpha / 2 R and (1 - alpha / 2) R. No row is made for a draw: the
+    differences go packed, in the order of units, to tasks that make the draws of some resamples and add up
+    those that fall to the differences they hold.
     """
     d = cut(pairs.select(config, unit, (F.col("x") - F.col("y")).alias("d")))
     size = d.groupBy(config).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("diff"))
-    placed = cut(_places(d, config, unit))
-    draws = size.select(config, "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("r")).select(config, "n", "r", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j"))
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    means = draws.select(config, "r", place.alias("place")).join(placed, [config, "place"]).groupBy(config, "r").agg(F.avg("d").alias("m"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", F.col("d").cast("double").alias("d")))), lambda v: v["d"])
+    packed = _places(d, config, unit).groupBy(config, F.expr(f"place div {PACK}").alias("pack")).agg(in_order.alias("values"))
+    turns = F.explode(F.sequence(F.lit(1), F.lit(resamples), F.lit(TURN))).alias("first")
+    held = packed.join(size.select(config, "n"), config).select(F.col(config).alias("config"), "n", F.expr(f"pack div {HELD // PACK}").alias("held"), "pack", "values", turns)
+    keys = ["config", "held", "first"]
+    fields = [T.StructField("config", pairs.schema[config].dataType), T.StructField("r", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("k", T.LongType())]
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the bytes of packed rows say little about the work
+    sums = held.repartition(tasks, *keys).groupBy(*keys).applyInArrow(_resampled(seed, resamples), T.StructType(fields))
+    means = sums.groupBy(F.col("config").alias(config), "r").agg(F.try_divide(F.sum("total"), F.sum("k")).alias("m"))
     at = means.withColumn("k", F.row_number().over(Window.partitionBy(config).orderBy("m", "r")) - 1)  # as many rows as resamples
     low, high = int(alpha / 2 * resamples), min(int((1 - alpha / 2) * resamples), resamples - 1)
     ends = at.groupBy(config).agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))
     return size.join(ends, config).select(config, "n", "diff", "low", "high")
 
 
+def _resampled(seed: int, resamples: int):
+    """Of packed differences of one configuration and the first of ``TURN`` resamples: a row per resample with the ``total`` of the drawn differences and how many (``k``) these are."""
+    turn, pack = TURN, PACK
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("pack")
+        n, first, begin = (rows[c][0].as_py() for c in ("n", "first", "pack"))
+        values = pc.list_flatten(rows["values"])
+        x, there, begin = pc.fill_null(values, 0.0).to_numpy(), pc.is_valid(values).to_numpy(), begin * pack
+        out = []
+        for r in range(first, min(first + turn, resamples + 1)):
+            total, k = 0.0, 0
+            for heads in draws.md5_heads(f"{seed}:{r}:", n):
+                at = heads.astype(np.int64) % n - begin
+                if len(x) < n:
+                    at = at[(at >= 0) & (at < len(x))]
+                total += float(x[at].sum())
+                k += int(there[at].sum())
+            out.append((r, total, k))
+        r, total, k = zip(*out)
+        config = pa.chunked_array([rows["config"].slice(0, 1).combine_chunks().take(pa.array([0] * len(out)))])
+        return pa.table({"config": config, "r": pa.array(r, pa.int32()), "total": pa.array(total, pa.float64()), "k": pa.array(k, pa.int64())})
+
+    return run
+
+
 def _places(d: DataFrame, config: str, unit: str) -> DataFrame:
     """(config, ``place``, ``d``): each unit's place from 0 in the order of units, counted by blocks of the sorted rows instead of one window per configuration."""
     rows = cut(d.repartitionByRange(config, unit).sortWithinPartitions(config, unit).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))

@@ -1,5 +1,6 @@
 """Operators against known answers, brute force and awkward rows."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -131,6 +132,27 @@ def test_bootstrap(paired):
     assert got["a"]["diff"] == pytest.approx(sum(d) / len(d)) and got["a"]["low"] < got["a"]["diff"] < got["a"]["high"]
 
 
+def test_bootstrap_brute(spark, monkeypatch):
+    """Every draw counts, over rows packed and held in small parts; none is a row that a join could broadcast."""
+    monkeypatch.setattr(stats, "PACK", 16)
+    monkeypatch.setattr(stats, "HELD", 64)
+    rng = random.Random(11)
+    data = [(c, f"p{i:04}", None if i % 50 == 7 else rng.random(), rng.random()) for c, k in (("a", 1), ("b", 16), ("c", 150), ("d", 1203)) for i in range(k)]
+    shuffled = spark.createDataFrame(rng.sample(data, len(data)), "config string, pair_id string, x double, y double")
+    df = stats.paired_bootstrap(shuffled, 60, seed=3)
+    assert not re.search(r"sequence\(1, n#", df._jdf.queryExecution().optimizedPlan().toString())
+    got = {r["config"]: r for r in df.collect()}
+    for c in "abcd":
+        d = [None if x is None else x - y for k, _, x, y in data if k == c]
+        means = []
+        for r in range(1, 61):
+            drawn = [d[int(hashlib.md5(f"3:{r}:{j}".encode()).hexdigest()[:8], 16) % len(d)] for j in range(1, len(d) + 1)]
+            some = [v for v in drawn if v is not None]
+            means.append(math.fsum(some) / len(some))
+        means.sort()
+        assert got[c]["n"] == len(d) and (got[c]["low"], got[c]["high"]) == (pytest.approx(means[1]), pytest.approx(means[58]))
+
+
 def test_holm_and_mcnemar(spark):
     t = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "config string, p double")
     assert {r["config"]: (round(r["adjusted"], 3), r["reject"]) for r in stats.holm(t).collect()} == {"a": (0.03, True), "c": (0.06, False), "b": (0.06, False)}
