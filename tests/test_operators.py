@@ -12,7 +12,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.functions import metrics, solidity, text
+from quarrymill.functions import draws, metrics, solidity, text
 from quarrymill.operators import checks, classify, corpus, dedup, graph, matching, retrieval, runs, stats, tables
 from quarrymill.sources import files, store
 from quarrymill.streaming import append
@@ -132,6 +132,15 @@ def test_bootstrap(paired):
     assert got["a"]["diff"] == pytest.approx(sum(d) / len(d)) and got["a"]["low"] < got["a"]["diff"] < got["a"]["high"]
 
 
+def test_md5_heads():
+    for prefix in ("7:1:", "-40:400:", "x" * 45):
+        got = [int(v) for part in draws.md5_heads(prefix, 20_005) for v in part]
+        assert got == [int(hashlib.md5(f"{prefix}{j}".encode()).hexdigest()[:8], 16) for j in range(1, 20_006)]
+    assert not list(draws.md5_heads("7:1:", 0))
+    with pytest.raises(ValueError):
+        list(draws.md5_heads("x" * 55, 1))
+
+
 def test_bootstrap_brute(spark, monkeypatch):
     """Every draw counts, over rows packed and held in small parts; none is a row that a join could broadcast."""
     monkeypatch.setattr(stats, "PACK", 16)
