@@ -63,20 +63,69 @@ def unresolved(edges: DataFrame, nodes: DataFrame, node: str = "file") -> DataFr
     return edges.join(nodes.select(F.col(node).alias("dst")).distinct(), "dst", "left_anti").select("src", "dst")
 
 
+def _rings(edges: DataFrame, rounds: int) -> DataFrame:
+    """(``node``, ``root``): nodes that reach their root and are reached from it. All that are found within ``rounds`` steps; any others are left out.
+
+    Each node takes the root with most ways through it among those that reach it, then roots are walked to
+    against the edges, among their own nodes. ``edges`` have no loops.
+    """
+    degree = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    ways = degree.groupBy("x.node").agg((-F.sum("x.o") * F.sum("x.i")).alias("w"))
+    best = cut(ways.select("node", F.struct("w", F.col("node").alias("root")).alias("best"), F.lit(True).alias("fresh")))
+    for _ in range(rounds):
+        came = best.where("fresh").select(F.col("node").alias("src"), "best").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("best").alias("new"))
+        best = cut(best.join(came, "node", "left").select("node", F.least("best", "new").alias("best"), F.coalesce(F.col("new") < F.col("best"), F.lit(False)).alias("fresh")))
+        if best.where("fresh").isEmpty():
+            break
+    own = best.select("node", F.col("best.root").alias("root"))
+    front = own.where("node = root")
+    seen = front
+    for _ in range(rounds):
+        before = front.select(F.col("node").alias("dst"), "root").join(edges, "dst").select(F.col("src").alias("node"), "root").distinct()
+        front = cut(before.join(own, ["node", "root"]).join(seen.select("node"), "node", "left_anti"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return cut(seen.where("node <> root"))
+
+
 def fixpoint(edges: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """Transitive closure of ``src`` -> ``dst`` by doubling, self-loops removed at the end."""
+    """Transitive closure of ``src`` -> ``dst`` by doubling, without self-loops, each pair once.
+
+    Before each doubling, nodes that reach each other are made one class, as far as they are found in a few
+    steps, so what is doubled does not grow with the square of such a ring. At the end the members are
+    joined back, in cells of the source, so no task makes all pairs of a large class.
+    """
     got = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    n = got.count()
-    for _ in range(max_rounds):
+    classes, ringed = got.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("class", F.col("node")), False
+    got = got.where("src <> dst")
+    for k in range(max_rounds):
+        rings = _rings(got, 3 if k else 6)  # each doubling halves the ways
+        if not rings.isEmpty():
+            ringed = True
+            to = rings.select(F.col("node").alias("class"), "root")
+            classes = cut(classes.join(to, "class", "left").select("node", F.coalesce("root", "class").alias("class")))
+            for end in ("src", "dst"):
+                got = got.join(rings.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+            got = cut(got.where("src <> dst").select("src", "dst").distinct())
+        n = got.count()
         step = got.select("src", F.col("dst").alias("mid")).join(got.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        got = cut(got.union(step).distinct())
-        more = got.count()
-        if more == n:
-            return got.where("src <> dst")
-        n = more
+        got = cut(got.union(step.where("src <> dst")).distinct())
+        if got.count() == n:
+            return _members(got, classes) if ringed else got
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
+def _members(pairs: DataFrame, classes: DataFrame, cells: int = 64) -> DataFrame:
+    """Pairs of members (``node``, ``class``) of classes that are a pair, or of one class."""
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the bytes of classes say little about the pairs
+    every = pairs.union(classes.select(F.col("class").alias("src"), F.col("class").alias("dst")).distinct())
+    left = classes.select(F.col("node").alias("s"), F.col("class").alias("src")).join(every, "src").select("s", "dst", F.pmod(F.hash("s"), F.lit(cells)).alias("cell"))
+    right = classes.select(F.col("node").alias("t"), F.col("class").alias("dst"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    met = left.repartition(tasks, "dst", "cell").join(right.repartition(tasks, "dst", "cell"), ["dst", "cell"])
+    return met.where("s <> t").select(F.col("s").alias("src"), F.col("t").alias("dst"))
+
+
 def _first_paths(starts: DataFrame, sons: DataFrame, max_nodes: int, width: int) -> DataFrame:
     """(``start``, ``n``, ``more``, ``lost``, ``paths``): the first ``width`` branches of each start, grown to their ends.
 

@@ -205,6 +205,38 @@ def test_reach_fixpoint_paths(spark):
     assert len(p) == 16 and all(r["truncated"] for r in p)
 
 
+def test_fixpoint_brute(spark):
+    """Rings, ways between them, chains, loops and separate parts, against a walk from every node."""
+    rng = random.Random(9)
+    ring = lambda name, k: [(f"{name}{i:02}", f"{name}{(i + 1) % k:02}") for i in range(k)]
+    e = ring("a", 20) + ring("b", 3) + ring("z", 2) + [("a07", "b01"), ("b02", "c0"), ("a01", "a01"), ("l", "l"), (None, "a01"), ("a02", None)] + [(f"c{i}", f"c{i + 1}") for i in range(6)] + [("x", "a03"), ("x", "c5")]
+    e += [(f"r{rng.randrange(30)}", f"r{rng.randrange(30)}") for _ in range(36)]
+    sons = {}
+    for s, t in e:
+        if s and t:
+            sons.setdefault(s, set()).add(t)
+    want = set()
+    for s in sons:
+        todo, seen = [s], set()
+        while todo:
+            for t in sons.get(todo.pop(), ()):
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        want |= {(s, t) for t in seen if t != s}
+    assert rows(graph.fixpoint(spark.createDataFrame(e + e[:5], "src string, dst string"))) == sorted(want, key=repr)
+    assert graph.fixpoint(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_fixpoint_of_a_ring_is_not_doubled(spark, monkeypatch):
+    """What is written on the way follows the edges, not the pairs of nodes that reach each other."""
+    rng, most, cut = random.Random(4), [], graph.cut
+    e = [(i, rng.randrange(300)) for i in range(300) for _ in range(5)] + [(i, (i + 1) % 300) for i in range(300)]
+    monkeypatch.setattr(graph, "cut", lambda df: most.append((x := cut(df)).count()) or x)
+    assert graph.fixpoint(spark.createDataFrame(e, "src long, dst long")).count() == 300 * 299
+    assert max(most) <= len(e)
+
+
 def test_acyclic_paths_brute(spark):
     import __spark_entry__ as entry
 
